@@ -40,11 +40,16 @@ def shingle_sets(texts: list[bytes], n: int = 3) -> tuple[np.ndarray, np.ndarray
                 x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[k] + np.uint64(7))
             whole.append(x[0])
         keys, doc = np.append(keys, np.array(whole, np.uint64)), np.append(doc, short)
-    order = np.lexsort((keys, doc))
-    keys, doc = keys[order], doc[order]
+    return distinct(keys, doc, len(texts))
+
+
+def distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of each of n owners, one after another, and how many each has."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-    return keys[new], np.bincount(doc[new], minlength=len(texts))
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return keys[new], np.bincount(owner[new], minlength=n)
 
 
 def classes(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
