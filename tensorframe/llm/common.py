@@ -74,7 +74,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = batch.column(column)
+        texts = _texts(batch, column)
         lens = np.nan_to_num(np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
         start = 0
         for i in range(batch.num_rows):
@@ -91,7 +91,19 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def _whole(held: list[pa.RecordBatch], column: str) -> tuple[pa.Table, list[bytes]]:
     table = pa.Table.from_batches(held).combine_chunks()
-    return table, as_bytes(table.column(column).combine_chunks())
+    texts = _texts(table, column)
+    return table, as_bytes(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+
+
+def _texts(rows: pa.RecordBatch | pa.Table, column: str):
+    """The texts, which may be a field of the struct ``row``."""
+    return rows.column(column) if "row" not in rows.schema.names else pc.struct_field(rows.column("row"), column)
+
+
+def carried(docs: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of docs as one struct, ``row``, whatever their names, and its type."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return whole, whole.schema["row"].dataType.simpleString()
 
 
 def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:

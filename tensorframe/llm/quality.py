@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, starts, windows, word_hashes, words_of
+from .common import carried, chunks, mix, starts, windows, word_hashes, words_of
 
 SYMBOLS = b"#*$%&|<>"
 #: name, SQL condition on the measurements that is true when the rule fails; the place is the bit.
@@ -61,16 +61,22 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, texts in chunks(batches):
-        out = table.drop_columns(["text"])
+        out = table if "row" in table.column_names else table.drop_columns(["text"])
         for k, v in measure(texts).items():
             out = out.append_column(k, pa.array(v, pa.int64()))
         yield from out.to_batches()
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """One row per row of docs: key, the measurements, and failed (bit i: rule i failed)."""
-    kind = docs.schema[key].dataType.simpleString()
-    got = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_measured, f"doc_id {kind}, {MEASURES}")
+def ledger(docs: DataFrame, rules: list[tuple[str, str]] = RULES, carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, the measurements, and failed (bit i: rule i failed).
+
+    With carry, the struct ``row`` with all columns of docs takes the place of doc_id.
+    """
+    if carry:
+        whole, kind = carried(docs)
+        got = whole.mapInArrow(_measured, f"row {kind}, {MEASURES}")
+    else:
+        got = docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
     bits = F.lit(0).cast("long")
     for i, (_, sql) in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(sql), F.lit(1 << i)).otherwise(0).cast("long"))

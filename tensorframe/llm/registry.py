@@ -4,13 +4,6 @@ from __future__ import annotations
 
 from . import bpe, jaccard, language_model, neighbours, packing, paragraphs, quality, token_counts, toxicity, urls
 
-
-def _pipeline(spark, sf_dir):
-    from corpus_pipeline import run
-
-    return run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_lm_scores": language_model.op2_lm_scores,
@@ -22,6 +15,5 @@ QUERIES = {
     "op8_bpe_codec": bpe.op8_bpe_codec,
     "op9_packing": packing.op9_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
-    "pipeline": _pipeline,
 }
 ORACLES = {"op5_quality_rules": quality.OP5_SQL, "op10_jaccard_join": jaccard.OP10_SQL}

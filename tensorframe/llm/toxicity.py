@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, starts, words_of
+from .common import carried, chunks, crc_mod, starts, words_of
 
 FIT_DOCS, FIT_BYTES, BUCKETS, ROUNDS = 1500, 32_768, 1 << 18, 30
 RATIO, LEAST_DOCS, STEP = 6.0, 4, 128
@@ -211,8 +211,11 @@ def spans_of(text: bytes, flagged: np.ndarray) -> list[dict]:
     return got
 
 
-def tag(docs: DataFrame, model: Crf) -> DataFrame:
-    """doc_id, score and spans (start, end of offending text) of every whole text."""
+def tag(docs: DataFrame, model: Crf, carry: bool = False) -> DataFrame:
+    """doc_id, score and spans (start, end of offending text) of every whole text.
+
+    With carry, the struct ``row`` with all columns of docs takes the place of doc_id.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,14 +234,17 @@ def tag(docs: DataFrame, model: Crf) -> DataFrame:
             some = set(np.unique(np.searchsorted(at, np.flatnonzero(hot), side="right") - 1).tolist())
             spans = [spans_of(t, hot[at[i] : at[i + 1]]) if i in some else [] for i, t in enumerate(texts)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield from table.select(["doc_id"]).append_column("score", pa.array(score)).append_column("spans", pa.array(spans, kind)).to_batches()
+            yield from table.select(["row" if carry else "doc_id"]).append_column("score", pa.array(score)).append_column("spans", pa.array(spans, kind)).to_batches()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start: int, end: int>>")
+    out = "score double, spans array<struct<start: int, end: int>>"
+    if carry:
+        whole, kind = carried(docs)
+        return whole.mapInArrow(run, f"row {kind}, {out}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {out}")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return tag(docs, train(docs, labels))
+def score_documents(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    return tag(docs, train(docs, labels), carry)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
