@@ -1,7 +1,7 @@
 """Token counts without ids: each distinct pre-token is counted once.
 
-Texts are cut into chunks of a few MB. A chunk sends each of its distinct pre-tokens once, so
-the most common one makes a row per chunk, not per document. Rows meet by pre-token, sorted;
+A group of up to GROUP_BYTES of texts sends each of its distinct pre-tokens once, so the most
+common one makes a row per group, not per document. Rows meet by pre-token, sorted;
 each run of equal pre-tokens is encoded once and its number of pieces goes back to the chunks,
 where the frequencies of each document are multiplied and summed.
 
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,34 +26,72 @@ from .common import chunks, coded, starts
 Split = Callable[[list[bytes]], tuple[list, np.ndarray, np.ndarray]]
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, list[bytes]]]:
-    """Chunks with ids that are the same whenever the same input split is read."""
-    base = TaskContext.get().partitionId() << 24
-    for i, (table, texts) in enumerate(chunks(batches)):
-        yield base + i, table, texts
+GROUP_BYTES, GROUP_KEYS = 64 << 20, 600_000
 
 
-def vectors(codes: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes of each text, how often each occurs, and the number of distinct ones."""
+def grouped(batches: Iterator[pa.RecordBatch], split: Split) -> Iterator[tuple]:
+    """Texts in chunks whose keys are numbered alike within a group of chunks.
+
+    Yields (group, table, texts, keys, place, codes, lens) for a chunk, where place[i] is the number
+    of keys[i] in the group, and (group, all keys) at a group's end. Groups have ids that are the
+    same whenever the same input split is read.
+    """
+    group = TaskContext.get().partitionId() << 24
+    known: dict = {}
+    size = 0
+    for table, texts in chunks(batches, limit=4 << 20):
+        keys, codes, lens = split(texts)
+        place = np.fromiter((known.setdefault(k, len(known)) for k in keys), np.int64, len(keys))
+        yield group, table, texts, keys, place, codes, lens
+        size += sum(map(len, texts))
+        if size > GROUP_BYTES or len(known) > GROUP_KEYS:
+            yield group, list(known)
+            known, size, group = {}, 0, group + 1
+    if known:
+        yield group, list(known)
+
+
+def vectors(codes: np.ndarray, lens: np.ndarray, place: np.ndarray) -> pa.Array:
+    """For each text the distinct keys, as gaps between their numbers, and how often each occurs."""
+    size = int(place.max(initial=0)) + 1
     doc = np.repeat(np.arange(len(lens)), lens)
-    key, times = np.unique(doc * np.int64(max(size, 1)) + codes, return_counts=True)
-    return key % max(size, 1), times, np.bincount(key // max(size, 1), minlength=len(lens))
+    key, times = np.unique(doc * np.int64(size) + place[codes], return_counts=True)
+    number, n = key % size, starts(np.bincount(key // size, minlength=len(lens))).tolist()
+    gap = np.diff(number, prepend=0)
+    gap[[a for a, b in zip(n, n[1:]) if a < b]] = number[[a for a, b in zip(n, n[1:]) if a < b]]
+    gap, times = gap.astype("<u4"), times.astype("<u4")
+    press = zstandard.ZstdCompressor(level=1).compress
+    # bytes of a kind lie together: the high ones are nearly all zero
+    return pa.array([press(np.concatenate([gap[a:b].view(np.uint8).reshape(-1, 4).T.ravel(), times[a:b].view(np.uint8).reshape(-1, 4).T.ravel()]).tobytes()) for a, b in zip(n, n[1:])], pa.binary())
 
 
-def packed(values: np.ndarray, lens: np.ndarray, kind=np.int32) -> pa.Array:
-    raw, cut = values.astype(kind).tobytes(), (starts(lens) * np.dtype(kind).itemsize).tolist()
-    return pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the keys and how often each occurs."""
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(2, 4, -1)
+    gap, times = (np.ascontiguousarray(y.T).view("<u4").ravel().astype(np.int64) for y in x)
+    return np.cumsum(gap), times
 
 
 def keys_of(split: Split, weigh: bool = False):
-    """For mapInArrow: chunk, code, key and the occurrences in rows where counted is true."""
+    """For mapInArrow: group, code, key and, if weighed, the occurrences in rows where counted is true."""
 
     def run(batches):
-        for chunk, table, texts in numbered(batches):
-            keys, codes, lens = split(texts)
-            used = np.repeat(np.asarray(table.column("counted").to_pylist(), bool), lens) if weigh else np.ones(len(codes), bool)
-            n = np.bincount(codes[used], minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk)), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(keys, pa.binary() if not keys or isinstance(keys[0], bytes) else pa.string()).cast(pa.binary()), pa.array(n, pa.int64())], ["chunk", "code", "key", "n"])
+        n = np.zeros(0, np.int64)
+        for group, *rest in grouped(batches, split):
+            if len(rest) > 1:
+                if weigh:
+                    table, _, _, place, codes, lens = rest
+                    used = np.repeat(np.asarray(table.column("counted").to_pylist(), bool), lens)
+                    more = np.bincount(place[codes[used]], minlength=len(n))
+                    more[: len(n)] += n
+                    n = more
+                continue
+            (keys,) = rest
+            out = {"chunk": np.full(len(keys), group), "code": np.arange(len(keys), dtype=np.int32), "key": pa.array(keys).cast(pa.binary())}
+            if weigh:
+                out["n"] = np.append(n, np.zeros(len(keys) - len(n), np.int64))
+                n = np.zeros(0, np.int64)
+            yield from pa.table(out).to_batches(max_chunksize=20_000)
 
     return run
 
@@ -82,7 +121,10 @@ def counted(tokenizer: str):
 def _summed(own: pa.Table, values: pa.Table) -> pa.Table:
     n = np.zeros(values.num_rows and int(values.column("code").to_numpy().max()) + 1, np.int64)
     n[values.column("code").to_numpy()] = values.column("n").to_numpy()
-    got = [int(n[np.frombuffer(c, np.int32)] @ np.frombuffer(t, np.int32)) for c, t in zip(own.column("codes").to_pylist(), own.column("times").to_pylist())]
+    got = []
+    for raw in own.column("freqs").to_pylist():
+        code, times = unpacked(raw)
+        got.append(int(n[code] @ times))
     return own.select(["doc_id", "n_bytes"]).append_column("n_tokens", pa.array(got, pa.int64()))
 
 
@@ -93,14 +135,14 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def frequencies(batches):
-        for chunk, table, texts in numbered(batches):
-            keys, codes, lens = split(texts)
-            code, times, n = vectors(codes, lens, len(keys))
-            size = pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))
-            yield from pa.table({"chunk": np.full(len(texts), chunk), "doc_id": table.column("doc_id"), "n_bytes": size, "codes": packed(code, n), "times": packed(times, n)}).to_batches()
-
-    own = rows.mapInArrow(frequencies, f"chunk long, doc_id {kind}, n_bytes long, codes binary, times binary")
-    keys = rows.mapInArrow(keys_of(split), "chunk long, code int, key binary, n long").drop("n")
+        for group, *rest in grouped(batches, split):
+            if len(rest) > 1:
+                table, texts, _, place, codes, lens = rest
+                size = pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))
+                yield from pa.table({"chunk": np.full(len(texts), group), "doc_id": table.column("doc_id"), "n_bytes": size, "freqs": vectors(codes, lens, place)}).to_batches()
+
+    own = rows.mapInArrow(frequencies, f"chunk long, doc_id {kind}, n_bytes long, freqs binary")
+    keys = rows.mapInArrow(keys_of(split), "chunk long, code int, key binary")
     each = keys.repartition("key").sortWithinPartitions("key").mapInArrow(counted(tokenizer), "chunk long, code int, n long")
     return own.groupBy("chunk").cogroup(each.groupBy("chunk")).applyInArrow(_summed, f"doc_id {kind}, n_bytes long, n_tokens long")
 
