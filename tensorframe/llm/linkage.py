@@ -1,9 +1,10 @@
 """Links between sets that are alike, and their connected components, without all pairs of a group.
 
-Sets meet in buckets by signature. Each first meets one other: the least member of one of its
-buckets, the one it shares most buckets with. Verified links are contracted to components; only
-buckets that still hold several components go on, and there each member outside the bucket's
-largest component meets every member of the other components. Nothing is capped.
+Sets meet in buckets by signature. Each first meets one other: the most central member of one of
+its buckets, the one it shares most buckets with. Verified links are contracted to components.
+Only sets in buckets that still hold several components go on: such a set meets those of other
+components with which it shares one of its rarest elements or, if both first met the same hub,
+one of its rarest changes against the hub. Alike sets must share one. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -64,31 +65,113 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long")
 
 
-def linked(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame | None:
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges: labels (node, comp) so far, edges a, b between nodes.
+
+    Edges are first mapped to components, so that many links between two components count once.
+    """
+    x = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    y = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    between = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    more = cut(components(between), "labels")
+    if more.isEmpty():
+        return labels
+    up = more.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    old = labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return cut(old.unionAll(more.join(labels, "node", "left_anti")), "labels")
+
+
+def linked(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """node, comp of every set that links to another.
 
     sigs: sig, cls, one row for each signature of a set; sets_of: cls -> cls, items for some.
     """
     own = Window.partitionBy("sig")
-    met = sigs.withColumn("hub", F.min("cls").over(own)).withColumn("top", F.max("cls").over(own)).where("hub <> top")
-    buckets = cut(met.select("sig", "cls", "hub").distinct(), "buckets")
+    met = sigs.withColumn("low", F.min("cls").over(own)).withColumn("top", F.max("cls").over(own)).where("low <> top")
+    buckets = cut(met.select("sig", "cls").distinct(), "buckets")
     sets = cut(sets_of(buckets.select("cls").distinct()), "sets")
-    stars = buckets.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
-    best = stars.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("b")).select(F.col("cls").alias("a"), "b")
-    edges = cut(verified(best, sets, num, den), "links")
-    found = components(edges)
-    labelled = buckets.select("sig", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
-    sizes = labelled.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("sig", "most")
-    rest = cut(labelled.join(mixed, "sig"), "mixed")
-    x = rest.where("comp <> most").select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-    y = rest.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"), "most")
-    pairs = x.join(y, "sig").where("ca <> cb AND (cb = most OR a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tested = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = cut(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, num, den), "links")
-    out = components(edges.unionAll(more)) if not more.isEmpty() else found
-    drop(rest, sets, buckets)
-    return out
+    # the more others a set meets in all its buckets, the more central it is
+    sized = buckets.withColumn("m", F.count("*").over(own))
+    ranked = cut(buckets.join(sized.groupBy("cls").agg(F.sum("m").alias("degree")), "cls"), "ranked")
+    drop(buckets)
+    hubs = ranked.groupBy("sig").agg(F.max(F.struct("degree", "cls")).alias("hub"))
+    stars = ranked.join(hubs, "sig").where("cls <> hub.cls").groupBy("cls").agg(F.max("hub").alias("hub"))
+    best = cut(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")), "pairs")
+    labels = components(cut(verified(best, sets, num, den), "links"))
+    left = _mixed(ranked, labels).join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
+    left = cut(left.join(sets, "cls"), "mixed")
+    pairs = prefix_pairs(left, num, den).unionAll(change_pairs(left, sets, num, den)).distinct()
+    known = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets, num, den), "links")
+    drop(ranked)
+    return joined(labels, more)
+
+
+def exploded(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """A row for each element of each of sets (cls, comp, hub, items, n): its place from the rarest on.
+
+    n is the size of the set behind it; df tells how many rows of the same hub have the element.
+    """
+
+    def opened(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.frombuffer(x, np.int64) for x in part.column("items").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                own = np.repeat(np.arange(len(sets)), size)
+                names = ["cls", "comp", "hub", "within", "n"]
+                columns = [part.column(c).to_numpy()[own] for c in names]
+                yield from pa.table([*columns, np.concatenate(sets), size[own].astype(np.int32)], names=[*names, "el", "d"]).to_batches(max_chunksize=20_000)
+
+    rows = sets.mapInArrow(opened, "cls long, comp long, hub long, within long, n int, el long, d int")
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("within", "el")))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "el"))
+    return rows.withColumn("place", place).where("df > 1")
+
+
+def prefix_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of different components and hubs that share one of their rarest elements.
+
+    Sets of n elements whose similarity is at least num / den share one of the
+    n - ceil(num * n / den) + 1 rarest of each, in any one order of the elements.
+    """
+    rows = exploded(left.select("cls", "comp", "hub", F.lit(0).cast("long").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items"), num, den)
+    kept = cut(rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub"), "prefixes")
+    x, y = (kept.select("el", F.col("cls").alias(c), F.col("comp").alias("c" + c), F.col("hub").alias("h" + c)) for c in "ab")
+    return x.join(y, "el").where("a > b AND ca <> cb AND ha <> hb").select("a", "b")
+
+
+def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of different components with the same hub that share a rare change against it.
+
+    With D a set's symmetric difference to the hub, two sets differ in |Dx| + |Dy| - 2 |Dx & Dy|
+    elements, of which alike sets have at most H = n (den - num) / num, n being the size of
+    either. One of the two isn't linked to the hub, so some change is shared; with |Dx| <= |Dy|, x
+    shares one of its H / 2 + 1 rarest changes and y one of its H + 1 rarest. A set with so many
+    changes of its own meets nobody, however much of the hub it shares with others.
+    """
+
+    def changes(batches):
+        for batch in batches:
+            got = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True).tobytes() for x, y in zip(batch.column("items").to_pylist(), batch.column("base").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "comp", "hub", "within", "n")), pa.array(got, pa.binary())], ["cls", "comp", "hub", "within", "n", "items"])
+
+    base = sets.select(F.col("cls").alias("hub"), F.col("items").alias("base"))
+    own = left.join(base, "hub").select("cls", "comp", "hub", F.col("hub").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items", "base")
+    rows = exploded(own.mapInArrow(changes, "cls long, comp long, hub long, within long, n int, items binary"), num, den)
+    most = f"(n * {den - num} div {num})"
+    kept = cut(rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", F.expr(f"place <= {most} div 2 + 1").alias("small")), "changes")
+    x = kept.where("small").select("within", "el", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("d").alias("da"))
+    y = kept.select("within", "el", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("d").alias("db"))
+    return x.join(y, ["within", "el"]).where("a <> b AND da <= db AND ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _mixed(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+    """cls, comp of the sets in buckets that hold several components."""
+    labelled = ranked.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
+    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    return labelled.join(mixed, "sig", "left_semi").select("cls", "comp").distinct()
 
 
 def with_requests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
