@@ -136,24 +136,17 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
     bands, height = tune(0.8, recall)
 
     def members(batches):
-        for table, texts in chunks(batches, limit=4 << 20):
+        for table, texts in chunks(batches, limit=2 << 20):
             h, lens, owner, first = lines_of(texts)
             keys, sizes = line_sets(h, lens)
             use = np.flatnonzero(sizes)
             own = table.select(["doc_id", "version"]).take(pa.array(owner[use]))
-            yield from own.append_column("first", pa.array(first[use], pa.int32())).append_column("n", pa.array(lens[use], pa.int32())).append_column("cls", pa.array(classes(keys, sizes)[use])).to_batches()
-
-    def signed(batches):
-        for _, texts in chunks(batches, limit=4 << 20):
-            h, lens, _, _ = lines_of(texts)
-            keys, sizes = line_sets(h, lens)
-            use = np.flatnonzero(sizes)
-            if len(use):
-                sig, cls = band_hashes(keys, sizes[use], bands, height), classes(keys, sizes)[use]
-                yield from pa.table({"sig": sig.ravel(), "cls": np.repeat(cls, bands)}).to_batches(max_chunksize=20_000)
+            sig = band_hashes(keys, sizes[use], bands, height) if len(use) else np.zeros((0, bands), np.int64)
+            sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * bands), pa.array(sig.ravel()))
+            yield from own.append_column("first", pa.array(first[use], pa.int32())).append_column("n", pa.array(lens[use], pa.int32())).append_column("cls", pa.array(classes(keys, sizes)[use])).append_column("sigs", sigs).to_batches(max_chunksize=5_000)
 
     def items(batches):
-        for table, texts in chunks(batches, limit=4 << 20):
+        for table, texts in chunks(batches, limit=2 << 20):
             h, lens, owner, _ = lines_of(texts)
             keys, sizes = line_sets(h, lens)
             ids, at = classes(keys, sizes), starts(sizes)
@@ -162,22 +155,22 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([keys[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary())], ["cls", "items"])
 
     def passages(batches):
-        for table, texts in chunks(batches, limit=4 << 20):
+        for table, texts in chunks(batches, limit=2 << 20):
             parts = [t.translate(BYTES_LOWER).split() for t in texts]
             words, codes = coded(parts)
             key, first, doc = winnowed(word_hashes(words)[codes], np.fromiter(map(len, parts), np.int64, len(parts)))
             own = table.select(["doc_id", "version"]).take(pa.array(doc))
             yield from own.append_column("first", pa.array(first, pa.int32())).append_column("hash", pa.array(key.astype(np.int64))).to_batches(max_chunksize=20_000)
 
-    member = cut(rows.mapInArrow(members, f"doc_id {kind}, version int, first int, n int, cls long"), "lines")
+    member = cut(rows.mapInArrow(members, f"doc_id {kind}, version int, first int, n int, cls long, sigs array<long>"), "lines")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         each = member.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
         wanted = cut(each.groupBy("doc_id").agg(F.collect_set("cls").alias("want")), "wanted")
         return with_requests(rows, wanted).mapInArrow(items, "cls long, items binary").dropDuplicates(["cls"])
 
-    found = linked(rows.mapInArrow(signed, "sig long, cls long"), sets_of, 4, 5).withColumnRenamed("node", "cls")
-    rooted = member.join(found, "cls", "left").withColumn("root", F.coalesce("comp", "cls"))
+    found = linked(member.select(F.explode("sigs").alias("sig"), "cls"), sets_of, 4, 5).withColumnRenamed("node", "cls")
+    rooted = member.drop("sigs").join(found, "cls", "left").withColumn("root", F.coalesce("comp", "cls"))
     keeper = rooted.groupBy("root").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other").select("root", "keeper")
     lines = rooted.join(keeper, "root").where("doc_id <> keeper").select("doc_id", "version", "first", "n", "keeper")
     own = Window.partitionBy("hash")
