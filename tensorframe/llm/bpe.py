@@ -1,8 +1,8 @@
 """Byte-level BPE in batches: encode and decode whole texts with numpy merge rounds.
 
-The symbols of many pieces lie in one flat array. Each round looks up every adjacent pair by
-binary search over sorted pair keys, takes the lowest rank of each piece and merges all its
-places at once. Pieces with nothing left to merge leave the array.
+The symbols of many pieces lie in one flat array. Each round takes the lowest rank of each piece
+and merges all its places at once; the pairs that a merge makes are looked up by binary search
+over sorted pair keys. Pieces with nothing left to merge leave the array.
 
 Defined cases: null text is empty and has no ids; the sha256 of no ids is that of empty text.
 """
@@ -49,12 +49,17 @@ class ByteBpe:
             self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
-        self.first = np.array([vocab[chars[b]] for b in range(256)], np.int64)
+        ending = spec["model"].get("end_of_word_suffix") or ""
+        #: the symbol of each byte; from 256 on, of a piece's last byte
+        self.last = ending or None
+        self.first = np.array([vocab[chars[b] + e] for e in ("", ending) for b in range(256)], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int64)
+        self.keys, self.rank = keys[order], np.append(order, NEVER).astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        a, b = np.divmod(np.arange(256 * 512), 512)
+        self.byte_pairs = self.find(self.first[a], self.first[b]).astype(np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens in order; a special string is a piece of its own."""
@@ -68,35 +73,55 @@ class ByteBpe:
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pieces in order, and the number of ids of each."""
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sym = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        ends = starts(lens)[1:][lens > 0] - 1
+        if self.last is not None:
+            raw[ends] += 256
+        sym = self.first[raw]
         word = np.repeat(np.arange(len(pieces)), lens)
+        # of each symbol with the next: rank and what they make, updated where a merge changes them
+        place = np.append(self.byte_pairs[(raw[:-1] & 255) * 512 + raw[1:]], -1) if len(raw) else np.zeros(0, np.int32)
+        place[ends] = -1
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(sym) > 1:
-            key = sym[:-1] * self.size + sym[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank[at], NEVER)
-            rank = np.append(rank, NEVER)
+        while len(sym):
+            rank = self.rank[place]  # the last one, for -1, is NEVER
             head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             low = np.minimum.reduceat(rank, head)
             size = np.diff(np.append(head, len(sym)))
-            live = np.repeat(low < NEVER, size)
-            pick = live & (rank == np.repeat(low, size))
+            if (low == NEVER).any():
+                live = np.repeat(low < NEVER, size)
+                done.append((sym[~live], word[~live]))
+                sym, word, place, rank = sym[live], word[live], place[live], rank[live]
+                size, low = size[low < NEVER], low[low < NEVER]
+                if not len(sym):
+                    break
+            p = np.flatnonzero(rank == np.repeat(low, size))
             # of a run of overlapping places, every second one from the left
-            p = np.flatnonzero(pick)
             run = np.append(True, p[1:] != p[:-1] + 1)
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(p)), 0))
-            p = p[(np.arange(len(p)) - begin) % 2 == 0]
-            sym[p] = self.made[at[p]]
-            keep = live.copy()
+            if not run.all():
+                begin = np.maximum.accumulate(np.where(run, np.arange(len(p)), 0))
+                p = p[(np.arange(len(p)) - begin) % 2 == 0]
+            sym[p] = self.made[place[p]]
+            keep = np.ones(len(sym), bool)
             keep[p + 1] = False
-            if not live.all():
-                done.append((sym[~live], word[~live]))
-            sym, word = sym[keep], word[keep]
-        done.append((sym, word))
-        ids, owner = np.concatenate([a for a, _ in done]), np.concatenate([b for _, b in done])
+            sym, word, place = sym[keep], word[keep], place[keep]
+            new = p - np.arange(len(p))
+            changed = np.zeros(len(sym), bool)
+            changed[new] = changed[new[new > 0] - 1] = True
+            at = np.flatnonzero(changed)
+            last = at + 1 == len(sym)
+            after = np.where(last, at, at + 1)
+            place[at] = np.where(~last & (word[at] == word[after]), self.find(sym[at], sym[after]), -1)
+        ids, owner = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pieces))
 
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place of each pair among the sorted pair keys, by binary search; -1 if it never merges."""
+        key = a * self.size + b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, at, -1)
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As encode, for pre-tokens as text; special strings have one id."""
         marked = [i for i, p in enumerate(pieces) if p in self.special] if self.special else []

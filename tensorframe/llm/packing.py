@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import ByteBpe
 from .common import chunks, cut, mix, starts, word_hashes, words_of
 
-LENGTH, DIMS, BITS, END = 4096, 3, 16, 2
-#: characters at which this tokenizer may join what stands on both sides are never ASCII white space
+LENGTH, DIMS, BITS, END, CACHE_WORDS = 4096, 3, 16, 2, 400_000
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -67,33 +68,92 @@ def curve_keys(h: np.ndarray, codes: np.ndarray, lens: np.ndarray, dims: int = D
     return hilbert(((1 / (1 + np.exp(-out))) * (2**bits - 1)).astype(np.int64), bits)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(name: str):
-    import os
+class Words:
+    """Ids of words between white space, as bytes, by numpy merge rounds.
+
+    For tokenizers that put text in NFC and lower case and keep what their pattern matches; a word
+    that may hold a special string goes through the tokenizers library.
+    """
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    from tokenizers import Tokenizer
+    def __init__(self, name: str):
+        import json
+
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        path = name if "/" in name else public_tokenizers.path(name)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        if steps != ["NFC", "Replace", "Lowercase"] or not split["invert"]:
+            raise ValueError(f"{name} isn't of the kind that packing knows")
+        self.bpe = ByteBpe(path, split["pattern"]["Regex"])
+        self.library = Tokenizer.from_file(path)
+        self.kind = np.uint32 if self.bpe.size > 1 << 16 else np.uint16
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # what was known before, until it overflows again
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Stops and commas after an ASCII letter or digit are pieces of their own."""
+        bases = [w.rstrip(b".,") or w for w in words]
+        bases = [b if b[-1:].isalnum() else w for b, w in zip(bases, words)]
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        tails = {w[len(b) :] for w, b in zip(words, bases)}
+        new = []
+        for w in dict.fromkeys([*bases, *filter(None, tails)]):
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+        self._learn(new)
+        ends = {t: known[t] if t else b"" for t in tails}
+        return [known[b] + ends[w[len(b) :]] for w, b in zip(words, bases)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        find = self.bpe.pattern.findall
+        pieces, count = [], []
+        for w in new:
+            if w.isalpha():  # ASCII letters: one piece
+                pieces.append(w.lower())
+                count.append(1)
+                continue
+            if w.isascii():
+                t = w.decode().lower()
+            else:
+                t = normalize("NFC", w.decode("utf-8", "replace"))
+                t = t.lower() if "\u03a3" not in t else "".join(c.lower() for c in t)  # a final sigma isn't told apart
+            own = [x.encode() for x in find(t)]
+            pieces += own
+            count.append(len(own))
+        ids, lens = self.bpe.encode(pieces)
+        size = np.dtype(self.kind).itemsize
+        raw = ids.astype(self.kind).tobytes()
+        at = (starts(lens)[starts(np.array(count, np.int64))] * size).tolist()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(new, at, at[1:]))
+        for w in new:
+            if b"<|" in w:
+                self.known[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
 
-    return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+
+@lru_cache(maxsize=2)
+def _words(name: str) -> Words:
+    return Words(name)
 
 
-def keyed(tokenizer: str, end: int, wide: bool):
+def keyed(tokenizer: str, end: int):
     """For mapInArrow: doc_id, the curve key, ids as bytes, and the number of ids."""
-    kind = np.uint32 if wide else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer)
-        known: dict[bytes, np.ndarray] = {}
+        tok = _words(tokenizer)
+        kind = tok.kind
         tail = np.array([end], kind).tobytes()
-        for table, texts in chunks(batches, limit=4 << 20):
+        for table, texts in chunks(batches, limit=6 << 20):
             words, codes, lens = words_of(texts)
-            if len(known) > 150_000:
-                known.clear()
-            new = [w for w in words if w not in known]
-            for w, e in zip(new, tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, kind).tobytes()
-            ids = [known[w] for w in words]
+            ids = tok.of(words)
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
             at = starts(lens).tolist()
             get, code = ids.__getitem__, codes.tolist()
@@ -163,9 +223,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     if length & (length - 1):
         raise ValueError("length is a power of two")
     kind = docs.schema[key].dataType.simpleString()
-    wide = _tokenizer(tokenizer).get_vocab_size() > 1 << 16
+    wide = _words(tokenizer).kind is np.uint32
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    ids = cut(rows.mapInArrow(keyed(tokenizer, end, wide), f"doc_id {kind}, key long, ids binary, n long"), "packing")
+    ids = cut(rows.mapInArrow(keyed(tokenizer, end), f"doc_id {kind}, key long, ids binary, n long"), "packing")
     by = ["key", F.xxhash64("doc_id"), "doc_id"]
     line = ids.drop("n").repartitionByRange(*([partitions] if partitions else []), *by).sortWithinPartitions(*by)
     return line.mapInArrow(cutter(length, wide), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
