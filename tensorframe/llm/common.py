@@ -2,11 +2,12 @@
 
 ``cut`` writes an intermediate result to the folder that all executors share and reads it
 back, so a lost executor costs at most the tasks that it was running. Python code works on
-chunks of a few MB of text; a single longer text makes a chunk of its own.
+chunks of a few MB of text, as two of them run beside a small heap; a single longer text makes a chunk of its own.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 _own: list[str] = []
 
 
@@ -67,8 +68,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Give memory that earlier tasks of a reused Python worker freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Whole rows in chunks of about ``limit`` bytes of text, with the texts as bytes."""
+    trim()
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
