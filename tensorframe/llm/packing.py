@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .bpe import ByteBpe
 from .common import chunks, cut, mix, starts, word_hashes, words_of
 
-LENGTH, DIMS, BITS, END, CACHE_WORDS = 4096, 3, 16, 2, 400_000
+LENGTH, DIMS, BITS, END, CACHE_WORDS = 4096, 3, 16, 2, 80_000
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -79,7 +79,6 @@ class Words:
         import json
 
         import public_tokenizers
-        from tokenizers import Tokenizer
 
         path = name if "/" in name else public_tokenizers.path(name)
         with open(path, encoding="utf-8") as f:
@@ -89,29 +88,34 @@ class Words:
         if steps != ["NFC", "Replace", "Lowercase"] or not split["invert"]:
             raise ValueError(f"{name} isn't of the kind that packing knows")
         self.bpe = ByteBpe(path, split["pattern"]["Regex"])
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None  # the library's own copy takes 40 MB, and few words need it
         self.kind = np.uint32 if self.bpe.size > 1 << 16 else np.uint16
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}  # what was known before, until it overflows again
 
     def of(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Stops and commas after an ASCII letter or digit are pieces of their own."""
-        bases = [w.rstrip(b".,") or w for w in words]
-        bases = [b if b[-1:].isalnum() else w for b, w in zip(bases, words)]
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        tails = {w[len(b) :] for w, b in zip(words, bases)}
-        new = []
-        for w in dict.fromkeys([*bases, *filter(None, tails)]):
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    new.append(w)
-        self._learn(new)
-        ends = {t: known[t] if t else b"" for t in tails}
-        return [known[b] + ends[w[len(b) :]] for w, b in zip(words, bases)]
+        out = list(map(known.get, words))
+        late, new = [], []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = words[i]
+            base = w.rstrip(b".,") if w[-1] in b".," else w
+            if not base[-1:].isalnum():
+                base = w
+            late.append((i, base, w[len(base) :]))
+            for part in (base, late[-1][2]):
+                if part and part not in known:
+                    if part in old:
+                        known[part] = old[part]
+                    else:
+                        new.append(part)
+        self._learn(list(dict.fromkeys(new)))
+        for i, base, tail in late:
+            out[i] = known[base] + known[tail] if tail else known[base]
+        return out
 
     def _learn(self, new: list[bytes]) -> None:
         find = self.bpe.pattern.findall
@@ -136,6 +140,10 @@ class Words:
         self.known.update((w, raw[a:b]) for w, a, b in zip(new, at, at[1:]))
         for w in new:
             if b"<|" in w:
+                if self.library is None:
+                    from tokenizers import Tokenizer
+
+                    self.library = Tokenizer.from_file(self.path)
                 self.known[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
 
 
@@ -151,7 +159,7 @@ def keyed(tokenizer: str, end: int):
         tok = _words(tokenizer)
         kind = tok.kind
         tail = np.array([end], kind).tobytes()
-        for table, texts in chunks(batches, limit=6 << 20):
+        for table, texts in chunks(batches, limit=2 << 20):
             words, codes, lens = words_of(texts)
             ids = tok.of(words)
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
