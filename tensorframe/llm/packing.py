@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .bpe import ByteBpe
 from .common import chunks, cut, mix, starts, word_hashes, words_of
 
-LENGTH, DIMS, BITS, END, CACHE_WORDS = 4096, 3, 16, 2, 80_000
+LENGTH, DIMS, BITS, END, CACHE_WORDS = 4096, 3, 16, 2, 400_000
+CHUNK_BYTES = 6 << 20
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -75,7 +76,7 @@ class Words:
     that may hold a special string goes through the tokenizers library.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, cache: int = CACHE_WORDS):
         import json
 
         import public_tokenizers
@@ -90,12 +91,13 @@ class Words:
         self.bpe = ByteBpe(path, split["pattern"]["Regex"])
         self.path, self.library = path, None  # the library's own copy takes 40 MB, and few words need it
         self.kind = np.uint32 if self.bpe.size > 1 << 16 else np.uint16
+        self.cache = cache
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}  # what was known before, until it overflows again
 
     def of(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Stops and commas after an ASCII letter or digit are pieces of their own."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.cache:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         out = list(map(known.get, words))
@@ -148,18 +150,18 @@ class Words:
 
 
 @lru_cache(maxsize=2)
-def _words(name: str) -> Words:
-    return Words(name)
+def _words(name: str, cache: int = CACHE_WORDS) -> Words:
+    return Words(name, cache)
 
 
-def keyed(tokenizer: str, end: int):
+def keyed(tokenizer: str, end: int, cache: int = CACHE_WORDS, chunk: int = CHUNK_BYTES):
     """For mapInArrow: doc_id, the curve key, ids as bytes, and the number of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _words(tokenizer)
+        tok = _words(tokenizer, cache)
         kind = tok.kind
         tail = np.array([end], kind).tobytes()
-        for table, texts in chunks(batches, limit=2 << 20):
+        for table, texts in chunks(batches, limit=chunk):
             words, codes, lens = words_of(texts)
             ids = tok.of(words)
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
@@ -223,17 +225,17 @@ def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kind if i == 0 else pa.int64()) for i, v in enumerate(zip(*rows))], names)
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end: int = END, partitions: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end: int = END, partitions: int | None = None, cache: int = CACHE_WORDS, chunk: int = CHUNK_BYTES) -> DataFrame:
     """One row per piece of a document; sequence_id and offset tell where it lies.
 
-    length is a power of two. Equal keys are told apart by the document, so a large group of copies spreads.
+    length is a power of two; cache (words) and chunk (bytes of text) bound a worker's memory. Equal keys are told apart by the document, so a large group of copies spreads.
     """
     if length & (length - 1):
         raise ValueError("length is a power of two")
     kind = docs.schema[key].dataType.simpleString()
     wide = _words(tokenizer).kind is np.uint32
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    ids = cut(rows.mapInArrow(keyed(tokenizer, end), f"doc_id {kind}, key long, ids binary, n long"), "packing")
+    ids = cut(rows.mapInArrow(keyed(tokenizer, end, cache, chunk), f"doc_id {kind}, key long, ids binary, n long"), "packing")
     by = ["key", F.xxhash64("doc_id"), "doc_id"]
     line = ids.drop("n").repartitionByRange(*([partitions] if partitions else []), *by).sortWithinPartitions(*by)
     return line.mapInArrow(cutter(length, wide), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
