@@ -134,12 +134,14 @@ def prefix_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: pairs of different components and hubs that share one of their rarest elements.
 
     Sets of n elements whose similarity is at least num / den share one of the
-    n - ceil(num * n / den) + 1 rarest of each, in any one order of the elements.
+    n - ceil(num * n / den) + 1 rarest of each, in any one order of the elements; of two known
+    sizes that must share t elements, one of the n - t + 1 rarest of each.
     """
     rows = exploded(left.select("cls", "comp", "hub", F.lit(0).cast("long").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items"), num, den)
-    kept = cut(rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub"), "prefixes")
-    x, y = (kept.select("el", F.col("cls").alias(c), F.col("comp").alias("c" + c), F.col("hub").alias("h" + c)) for c in "ab")
-    return x.join(y, "el").where("a > b AND ca <> cb AND ha <> hb").select("a", "b")
+    kept = cut(rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub", "n", "place"), "prefixes")
+    x, y = (kept.select("el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("hub", "h"), ("n", "n"), ("place", "p"))]) for c in "ab")
+    share = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"  # what alike sets of these sizes share at least
+    return x.join(y, "el").where(f"a > b AND ca <> cb AND ha <> hb AND pa <= na - {share} + 1 AND pb <= nb - {share} + 1").select("a", "b")
 
 
 def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -149,7 +151,8 @@ def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     elements, of which alike sets have at most H = n (den - num) / num, n being the size of
     either. One of the two isn't linked to the hub, so some change is shared; with |Dx| <= |Dy|, x
     shares one of its H / 2 + 1 rarest changes and y one of its H + 1 rarest. A set with so many
-    changes of its own meets nobody, however much of the hub it shares with others.
+    changes of its own meets nobody, however much of the hub it shares with others. Of two sets
+    whose sizes are known, t changes must be shared, so one of the |D| - t + 1 rarest of each.
     """
 
     def changes(batches):
@@ -161,10 +164,11 @@ def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     own = left.join(base, "hub").select("cls", "comp", "hub", F.col("hub").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items", "base")
     rows = exploded(own.mapInArrow(changes, "cls long, comp long, hub long, within long, n int, items binary"), num, den)
     most = f"(n * {den - num} div {num})"
-    kept = cut(rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", F.expr(f"place <= {most} div 2 + 1").alias("small")), "changes")
-    x = kept.where("small").select("within", "el", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("d").alias("da"))
-    y = kept.select("within", "el", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("d").alias("db"))
-    return x.join(y, ["within", "el"]).where("a <> b AND da <= db AND ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    kept = cut(rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", "n", "place", F.expr(f"place <= {most} div 2 + 1").alias("small")), "changes")
+    x, y = (t.select("within", "el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("d", "d"), ("n", "n"), ("place", "p"))]) for c, t in (("a", kept.where("small")), ("b", kept)))
+    share = f"greatest(1, (da + db - (na + nb) * {den - num} div {num + den} + 1) div 2)"
+    met = f"a <> b AND da <= db AND ca <> cb AND pa <= da - {share} + 1 AND pb <= db - {share} + 1"
+    return x.join(y, ["within", "el"]).where(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _mixed(ranked: DataFrame, labels: DataFrame) -> DataFrame:
