@@ -72,26 +72,15 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gap), times
 
 
-def keys_of(split: Split, weigh: bool = False):
-    """For mapInArrow: group, code, key and, if weighed, the occurrences in rows where counted is true."""
+def keys_of(split: Split):
+    """For mapInArrow: group, code and key."""
 
     def run(batches):
-        n = np.zeros(0, np.int64)
         for group, *rest in grouped(batches, split):
-            if len(rest) > 1:
-                if weigh:
-                    table, _, _, place, codes, lens = rest
-                    used = np.repeat(np.asarray(table.column("counted").to_pylist(), bool), lens)
-                    more = np.bincount(place[codes[used]], minlength=len(n))
-                    more[: len(n)] += n
-                    n = more
-                continue
-            (keys,) = rest
-            out = {"chunk": np.full(len(keys), group), "code": np.arange(len(keys), dtype=np.int32), "key": pa.array(keys).cast(pa.binary())}
-            if weigh:
-                out["n"] = np.append(n, np.zeros(len(keys) - len(n), np.int64))
-                n = np.zeros(0, np.int64)
-            yield from pa.table(out).to_batches(max_chunksize=20_000)
+            if len(rest) == 1:
+                (keys,) = rest
+                out = {"chunk": np.full(len(keys), group), "code": np.arange(len(keys), dtype=np.int32), "key": pa.array(keys).cast(pa.binary())}
+                yield from pa.table(out).to_batches(max_chunksize=20_000)
 
     return run
 

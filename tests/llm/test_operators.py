@@ -166,7 +166,8 @@ def test_attention_is_a_distribution_and_causal():
     ids, total = rng.integers(0, 9, 300).astype(np.int32), np.array([100, 1, 199])
     m = language_model.fit(ids, total, np.bincount(ids, minlength=9).astype(float), 8, steps=3)
     at, real, _ = language_model.windows_of(total)
-    seen = at[:, 8:][real[:, 8:]]
+    lead = language_model.WIDTH - language_model.STRIDE
+    seen = at[:, lead:][real[:, lead:]]
     assert sorted(seen.tolist()) == list(range(300))
     np.testing.assert_allclose(m.next.sum(0), 1, rtol=1e-4)
     whole = m.score(ids, total)
@@ -174,6 +175,42 @@ def test_attention_is_a_distribution_and_causal():
     np.testing.assert_allclose(whole, each, rtol=1e-5)
 
 
+def test_mixture_of_attention_and_counts():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 4, (7, 3)).astype(float) * [1, 1, 0]
+    sizes, ends, kinds = counts.sum(0) * 2, 5, 8
+    mix = language_model.Mixture(counts.astype(np.float32), sizes, ends, kinds)
+    word, own = rng.integers(0, 7, 12), -rng.random(13) * 3
+    share = kinds / (sizes.sum() + ends + kinds)
+    end = ends / (sizes.sum() + ends)
+    want = 0.0
+    for t in range(12):
+        w = np.exp(mix.told[word[:t]].sum(0) + 0.5 * np.log(mix.prior))
+        w = 0.95 * w / w.sum() + 0.05 * mix.prior
+        want += math.log10(share * 10 ** own[t] + (1 - share) * (1 - end) * (w @ (counts[word[t]] / np.maximum(sizes, 1))))
+    want += math.log10(share * 10 ** own[12] + (1 - share) * end)
+    assert math.isclose(mix.score(word, own.copy()), want, rel_tol=1e-5)
+    number, score = language_model.unpacked(language_model.packed(np.append(word, 0), own))
+    assert number[:-1].tolist() == word.tolist()
+    np.testing.assert_allclose(score, own, rtol=1e-3)
+
+
+def test_word_scores():
+    """A word counts until the next begins, so the words that begin alike share what is left to each."""
+    rng = np.random.default_rng(0)
+    ids, total = rng.integers(0, 8, 60).astype(np.int32), np.array([1, 20, 39])
+    opens = np.array([1, 1, 1, 0, 0, 0, 0, 0, 1.0])
+    ids[[0, 1, 21]] = 0
+    ids[np.cumsum(total) - 1] = 8
+    m = language_model.fit(ids, total, np.bincount(ids, minlength=9).astype(float), 8, steps=3)
+    first = np.flatnonzero(opens[ids] == 1)
+    got = m.word_scores(ids, total, first, opens)
+    p, o = (x.astype(float) for x in m.token_scores(ids, total, opens))
+    assert (p[first] <= o[first] + 1e-5).all()
+    for a, b, s in zip(first, [*first[1:], 60], got):
+        assert math.isclose(s, min(0, p[a:b].sum() - o[a] + (o[b] if ids[a] != 8 else 0)), abs_tol=1e-4)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     clean = ["aren", "tolin", "breda", "sund", "menk", "oral", "pist", "vard"]
