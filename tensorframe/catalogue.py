@@ -158,6 +158,12 @@ query("x_csf3_roundtrip", f"SELECT i, j, k, v FROM {R3}")(lambda d: layouts.from
 query("x_min_plus", f"SELECT a.i, b.k, MIN(a.v + b.v) AS v FROM {R} a JOIN {AT} b USING (j) GROUP BY 1, 2")(lambda d: Kernel.registry["spgemm"](d.flag("R"), d.turned("A"), ring=MIN_PLUS))
 
 
+# the same three over whole R and the whole vectors
+query("x_outer_whole", f"SELECT a.i, b.j, a.v * b.v AS v FROM {NATION} a CROSS JOIN {SIZE} b")(lambda d: evaluate(d.nations()["i"] * d.sizes()["j"]))
+query("x_add_bc_whole", f"SELECT i, j, SUM(v) AS v FROM (SELECT i, j, v FROM {R} UNION ALL SELECT i, j, v FROM range((SELECT MAX(s_suppkey) + 1 FROM supplier)) r(i) CROSS JOIN {SIZE}) GROUP BY i, j")(lambda d: evaluate(reshape.resize(d.flag("R", "DCSR"), i=d.suppliers)["i", "j"] + bc("i", d.sizes()["j"])))
+query("x_self_product_whole", f"SELECT a.i, b.i AS k, SUM(a.v * b.v) AS v FROM {R} a JOIN {R} b USING (j) GROUP BY 1, 2")(lambda d: evaluate(contract("j", (t := d.flag("R", "DCSR"))["i", "j"] * t["k", "j"])))
+
+
 def _one(t: SparseTensor) -> SparseTensor:
     """The stored coordinates of t, each with 1."""
     return SparseTensor(t.df.select(*t.indices, F.lit(1.0).alias("v")), t.indices, t.shape, t.format, t.dtype)
