@@ -4,11 +4,13 @@ A paragraph is a line of at least ``LEAST`` words; its set is its distinct 5-wor
 Paragraphs that collide in a band are verified by exact Jaccard similarity (0.8 or more) and
 clustered by connected components. Passages that start or end inside a line share no paragraph,
 so windows of ``WINDOW`` words, of which the least hash of every ``SPREAD`` consecutive ones is
-kept, are matched exactly: any run of WINDOW + SPREAD - 1 equal words shares one.
+kept, are matched exactly: any run of WINDOW + SPREAD - 1 equal words shares one. Such a window
+is a seed only: all runs of ``LEAST_RUN`` words around it are matched too, so a repeated passage
+goes from its first word to its last.
 
-Of each component, and of each window, the document with the smallest id keeps its words; in
-other documents they are marked for removal, once the merged run has at least ``LEAST_RUN``
-words. Repeats inside one document are no concern here.
+Of each component, and of each run of LEAST_RUN words, the document with the smallest id keeps its
+words; in other documents they are marked for removal. Repeats inside one document are no concern
+here.
 
 Defined cases: null or short texts have nothing to remove; a null doc_id takes no part; rows
 that share a doc_id are one document for keeping, and each text of it has its own runs.
@@ -21,10 +23,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES_LOWER, chunks, coded, cut, mix, starts, windows, word_hashes
+from .common import BYTES_LOWER, chunks, coded, cut, drop, mix, starts, windows, word_hashes, words_of
 from .jaccard import classes, distinct
 from .linkage import BROADCAST_ROWS, components, linked, with_requests
 
@@ -106,6 +109,33 @@ def winnowed(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[take], (first - starts(lens)[doc])[take], doc[take]
 
 
+def around(h: np.ndarray, lens: np.ndarray, seeds: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word in its text, and text of the windows of LEAST_RUN words that a run with a seed can hold.
+
+    seeds: first words of the texts' seeds; count: how many each text has. In a run of more words
+    than WINDOW + SPREAD - 1, each such window lies with some seed in a stretch of that many.
+    """
+    keys, first, doc = windows(h, lens, LEAST_RUN)
+    at, own = starts(lens), np.repeat(np.arange(len(lens)), count)
+    reach = np.zeros(len(h) + 1, np.int64)
+    np.add.at(reach, at[own] + np.maximum(seeds - SPREAD + 1, 0), 1)
+    np.add.at(reach, np.minimum(at[own] + seeds + WINDOW + SPREAD - LEAST_RUN, at[own + 1]), -1)
+    take = np.cumsum(reach)[first] > 0
+    return keys[take], (first - at[doc])[take], doc[take]
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes in order, and the number of words of each text."""
+    words, codes, lens = words_of([t.translate(BYTES_LOWER) for t in texts])
+    return word_hashes(words)[codes], lens
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """The rows whose hash several documents have, with the smallest of these as keeper."""
+    keeper = found.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other")
+    return found.join(keeper.select("hash", "keeper"), "hash")
+
+
 def runs_of(hits: list[dict], least: int = LEAST_RUN) -> tuple[list[dict], list[int]]:
     """Merged runs of words that are long enough, and the documents that keep them."""
     runs: list[list] = []
@@ -156,9 +186,15 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
 
     def passages(batches):
         for table, texts in chunks(batches, limit=2 << 20):
-            parts = [t.translate(BYTES_LOWER).split() for t in texts]
-            words, codes = coded(parts)
-            key, first, doc = winnowed(word_hashes(words)[codes], np.fromiter(map(len, parts), np.int64, len(parts)))
+            key, first, doc = winnowed(*hashed(texts))
+            own = table.select(["doc_id", "version"]).take(pa.array(doc))
+            yield from own.append_column("first", pa.array(first, pa.int32())).append_column("hash", pa.array(key.astype(np.int64))).to_batches(max_chunksize=20_000)
+
+    def extended(batches):
+        for table, texts in chunks(batches, limit=2 << 20):
+            h, lens = hashed(texts)
+            want = table.column("seeds")
+            key, first, doc = around(h, lens, pc.list_flatten(want).to_numpy().astype(np.int64), pc.list_value_length(want).to_numpy())
             own = table.select(["doc_id", "version"]).take(pa.array(doc))
             yield from own.append_column("first", pa.array(first, pa.int32())).append_column("hash", pa.array(key.astype(np.int64))).to_batches(max_chunksize=20_000)
 
@@ -173,9 +209,13 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
     rooted = member.drop("sigs").join(found, "cls", "left").withColumn("root", F.coalesce("comp", "cls"))
     keeper = rooted.groupBy("root").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper <> other").select("root", "keeper")
     lines = rooted.join(keeper, "root").where("doc_id <> keeper").select("doc_id", "version", "first", "n", "keeper")
-    own = Window.partitionBy("hash")
-    runs = rows.mapInArrow(passages, f"doc_id {kind}, version int, first int, hash long").withColumn("keeper", F.min("doc_id").over(own)).where("doc_id <> keeper")
-    runs = runs.select("doc_id", "version", "first", F.lit(WINDOW).alias("n"), "keeper")
+    schema = f"doc_id {kind}, version int, first int, hash long"
+    seeds = cut(rows.mapInArrow(passages, schema), "seeds")
+    near = cut(shared(seeds).groupBy("doc_id", "version").agg(F.collect_set("first").alias("seeds")), "near")
+    drop(seeds)
+    few = (near.agg(F.sum(F.size("seeds"))).first()[0] or 0) <= BROADCAST_ROWS
+    windows_near = cut(rows.join(F.broadcast(near) if few else near, ["doc_id", "version"]).mapInArrow(extended, schema), "extended")
+    runs = shared(windows_near).where("doc_id <> keeper").select("doc_id", "version", "first", F.lit(LEAST_RUN).alias("n"), "keeper")
     # as many hits as a text has words, at most: the group is bounded by its document
     each = lines.unionAll(runs).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "n", "keeper")).alias("hits"))
 

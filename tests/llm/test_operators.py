@@ -147,6 +147,23 @@ def test_paragraphs(docs, none):
     assert paragraphs.repeated(none).count() == 0 and paragraphs.tune(0.8, 0.99) == (7, 3)
 
 
+def test_passages_go_whole(spark):
+    """Any 32 equal words or more are removed from the later text, with no word left over and none too many."""
+    rng, at, rows = random.Random(12), 0, []
+    say = lambda n: [str(rng.randrange(10**9)) for _ in range(n)]
+    want = {}
+    for n in (16, 17, *([32] * 12), *([33, 34, 35, 40, 51, 60, 150] * 3)):
+        passage = say(n)
+        for late in (0, 1):
+            before = rng.randint(1, 60)
+            rows.append((at, " ".join([*say(before), *passage, *say(rng.randint(1, 60))])))
+            want[at] = [(before, n)] if late and n >= 32 else []
+            at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [tuple(x) for x in r.runs] for r in paragraphs.repeated(docs).collect()}
+    assert {i: got.get(i, []) for i in want} == want
+
+
 def test_language_model(docs, none):
     got = language_model.lm_scores(docs, fit_docs=20).collect()
     held = lambda i: crc32(b"" if i is None else str(i).encode()) % 7 == 2
