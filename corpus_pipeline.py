@@ -27,11 +27,12 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the smallest id, once.
 
+    Near-duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more.
     Rows without an id, or without a word, stay as they are; of rows that share an id which is
     kept, the greatest stays.
     """
     named = docs.where("doc_id IS NOT NULL")
-    found = common.cut(jaccard.jaccard_components(named), "groups")
+    found = common.cut(jaccard.jaccard_components(named, num=80, den=100, shingle=5), "groups")
     chosen = found.where("doc_id = component_id").select("doc_id").distinct()
     out = named.join(chosen, "doc_id", "left_semi").select(*docs.columns)
     twice = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

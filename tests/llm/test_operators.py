@@ -321,3 +321,18 @@ def test_pipeline(spark, docs, tmp_path):
     assert 13 not in kept[0] and 11 not in kept[0] and 7 not in kept[0] and {0, 1, 2, 3, 4} <= kept[0] == kept[1]
     assert {1, 2} & kept[2] == set() and {0, 3, 4} <= kept[2] == kept[3] == kept[4]
     assert pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_near_copies(spark, tmp_path):
+    """Four changed words of 200: similarity 0.815 by five-word shingles, 0.886 by three-word ones."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    near, far = list(base), list(base)
+    for k in (30, 80, 120, 170):
+        near[k] = f"near{k}"
+    for k in range(10, 200, 25):
+        far[k] = f"far{k}"
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, near, far))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 2}
