@@ -192,6 +192,15 @@ def test_attention_is_a_distribution_and_causal():
     np.testing.assert_allclose(whole, each, rtol=1e-5)
 
 
+def test_every_score_sees_half_a_window():
+    """From the middle of a long text on, each token is scored with 17 inputs at least, itself among them."""
+    at, real, _ = language_model.windows_of(np.array([400]))
+    lead = language_model.WIDTH - language_model.STRIDE
+    assert language_model.WIDTH >= 32 and language_model.MIXES >= 32 and lead >= 16
+    seen = real.cumsum(1)[:, lead:][real[:, lead:]]
+    assert (seen[at[:, lead:][real[:, lead:]] >= 16] >= 17).all()
+
+
 def test_mixture_of_attention_and_counts():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 4, (7, 3)).astype(float) * [1, 1, 0]
