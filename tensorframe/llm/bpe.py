@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, starts
 
-CACHE_PIECES = 200_000
+CACHE_PIECES, BLOCK = 200_000, 16_384
 NEVER = np.int64(1) << 40
 
 
@@ -72,13 +72,23 @@ class ByteBpe:
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pieces in order, and the number of ids of each."""
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        return self.encode_raw(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+    def encode_raw(self, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for the bytes of all pieces; in blocks that stay near the processor."""
+        at = starts(lens)
+        got = [self._merged(data[at[i] : at[min(i + BLOCK, len(lens))]], lens[i : i + BLOCK]) for i in range(0, len(lens), BLOCK)]
+        if not got:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([x for x, _ in got]), np.concatenate([n for _, n in got])
+
+    def _merged(self, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.astype(np.int64)
         ends = starts(lens)[1:][lens > 0] - 1
         if self.last is not None:
             raw[ends] += 256
         sym = self.first[raw]
-        word = np.repeat(np.arange(len(pieces)), lens)
+        word = np.repeat(np.arange(len(lens)), lens)
         # of each symbol with the next: rank and what they make, updated where a merge changes them
         place = np.append(self.byte_pairs[(raw[:-1] & 255) * 512 + raw[1:]], -1) if len(raw) else np.zeros(0, np.int32)
         place[ends] = -1
@@ -113,7 +123,7 @@ class ByteBpe:
             after = np.where(last, at, at + 1)
             place[at] = np.where(~last & (word[at] == word[after]), self.find(sym[at], sym[after]), -1)
         ids, owner = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pieces))
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lens))
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place of each pair among the sorted pair keys, by binary search; -1 if it never merges."""

@@ -22,35 +22,76 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 CHUNK_BYTES = 2 << 20
+#: the six bytes that words are cut at
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder; a folder of our own only on one machine, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="corpus-"))
     return "file://" + _own[0]
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: short lineage, no recomputation."""
+def cut(df: DataFrame, name: str = "step", made: list | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: short lineage, no recomputation.
+
+    made: a list that the table is added to, for ``drop`` once nothing reads it any more.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._cut_path = path
+    if made is not None:
+        made.append(back)
     return back
 
 
+def _files(df: DataFrame):
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    return path.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()), path
+
+
+def cut_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``cut`` wrote."""
+    files, path = _files(df)
+    return files.getContentSummary(path).getLength()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what ``cut`` wrote, once nothing reads it any more."""
     for df in tables:
-        if path := getattr(df, "_cut_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()).delete(p, True)
+        if getattr(df, "_cut_path", None):
+            files, path = _files(df)
+            files.delete(path, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if reading it twice gives the same rows in the same order, as a scan of files does; else a cut of it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moves = ("Exchange", "Join", "Python", "Arrow", "Pandas", "Sample", "RDD")
+    return cut(df, "settled") if any(x in plan for x in moves) else df
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version, a hash of the text: both name a row wherever ids are null or repeat."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+
+
+def least_row() -> Column:
+    """For an aggregate: the row with the smallest id, one without an id last; the fields id and version name it."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "version"))
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["id"]) & (a["version"] == b["of"])
 
 
 def crc_mod(doc_id: Column | str, n: int) -> Column:
@@ -111,18 +152,25 @@ def _texts(rows: pa.RecordBatch | pa.Table, column: str):
 
 def carried(docs: DataFrame) -> tuple[DataFrame, str]:
     """All columns of docs as one struct, ``row``, whatever their names, and its type."""
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole, whole.schema["row"].dataType.simpleString()
 
 
-def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, the code of each word in order, and the number of words of each text.
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As words_of, with the distinct words as an Arrow array of binary."""
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = ~SPACE[buf]
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    first, after = edge[::2], edge[1::2]
+    code = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(starts(after - first)), pa.py_buffer(buf[inside])]).dictionary_encode()
+    ends = starts(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return code.dictionary, code.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(np.searchsorted(first, ends))
 
-    bytes.split() cuts at exactly the six bytes x20 and x09 to x0D.
-    """
-    parts = [t.split() for t in texts]
-    lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    return *coded(parts), lens
+
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the code of each word in order, and the number of words of each text."""
+    words, codes, lens = cut_words(texts)
+    return words.to_pylist(), codes, lens
 
 
 def coded(parts: list[list]) -> tuple[list, np.ndarray]:
@@ -137,6 +185,13 @@ def starts(lens: np.ndarray) -> np.ndarray:
     return out
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), then those of first[1], and so on; all below 2**31."""
+    out = np.repeat((first - starts(n)[:-1]).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: equal in, equal out; well spread."""
     x = x.astype(np.uint64)

@@ -7,27 +7,30 @@ last, shorter part of each partition is cut at powers of two, which need no padd
 Ids are computed once, word by word: in this tokenizer no token spans white space, so each
 distinct word of a chunk is encoded once. Words that hold a special string are encoded likewise.
 
-Defined cases: null text is empty and packs as the end id alone; repeated rows are packed each.
+Defined cases: null text is empty and packs as the end id alone; repeated rows are packed each,
+side by side; a text of any length is encoded whole and cut into as many pieces as it needs; an
+empty table gives no pieces; columns besides the key and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe
-from .common import chunks, cut, mix, starts, word_hashes, words_of
+from .common import chunks, cut, cut_bytes, cut_words, mix, ranges, starts, word_hashes
 
-LENGTH, DIMS, BITS, END, CACHE_WORDS = 4096, 3, 16, 2, 400_000
-CHUNK_BYTES = 6 << 20
+LENGTH, DIMS, BITS, END = 4096, 3, 16, 2
+CHUNK_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -70,13 +73,14 @@ def curve_keys(h: np.ndarray, codes: np.ndarray, lens: np.ndarray, dims: int = D
 
 
 class Words:
-    """Ids of words between white space, as bytes, by numpy merge rounds.
+    """Ids of words between white space, by numpy merge rounds over a chunk's distinct words.
 
-    For tokenizers that put text in NFC and lower case and keep what their pattern matches; a word
-    that may hold a special string goes through the tokenizers library.
+    For tokenizers that put text in NFC and lower case and keep what their pattern matches. Words
+    of code points below U+0300 are cut here; what holds another, or may hold a special string,
+    goes through the tokenizers library, whose tables of later code points nothing else has.
     """
 
-    def __init__(self, name: str, cache: int = CACHE_WORDS):
+    def __init__(self, name: str):
         import json
 
         import public_tokenizers
@@ -91,86 +95,118 @@ class Words:
         self.bpe = ByteBpe(path, split["pattern"]["Regex"])
         self.path, self.library = path, None  # the library's own copy takes 40 MB, and few words need it
         self.kind = np.uint32 if self.bpe.size > 1 << 16 else np.uint16
-        self.cache = cache
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}  # what was known before, until it overflows again
-
-    def of(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Stops and commas after an ASCII letter or digit are pieces of their own."""
-        if len(self.known) > self.cache:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        out = list(map(known.get, words))
-        late, new = [], []
-        for i in [i for i, x in enumerate(out) if x is None]:
-            w = words[i]
-            base = w.rstrip(b".,") if w[-1] in b".," else w
-            if not base[-1:].isalnum():
-                base = w
-            late.append((i, base, w[len(base) :]))
-            for part in (base, late[-1][2]):
-                if part and part not in known:
-                    if part in old:
-                        known[part] = old[part]
-                    else:
-                        new.append(part)
-        self._learn(list(dict.fromkeys(new)))
-        for i, base, tail in late:
-            out[i] = known[base] + known[tail] if tail else known[base]
-        return out
-
-    def _learn(self, new: list[bytes]) -> None:
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words (binary, UTF-8) and the number of each."""
+        text = words.cast(pa.large_string())
+        late = _holds(text, LATER) | np.asarray(pc.match_substring_regex(text, "\u0130|<\\|").to_numpy(zero_copy_only=False), bool)
+        part, owner, whole = self._parts(pc.utf8_lower(text.filter(pa.array(~late))))
+        flat, n = self._pieces(whole)
+        own = np.flatnonzero(~late)[owner]
+        size = np.bincount(own, weights=n[part], minlength=len(words)).astype(np.int64)
+        flat = flat[ranges(starts(n)[part], n[part])]
+        if not late.any():
+            return flat, size
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        more = [x.ids for x in self.library.encode_batch(text.filter(pa.array(late)).to_pylist(), add_special_tokens=False)]
+        size[late] = np.fromiter(map(len, more), np.int64, len(more))
+        out = np.empty(size.sum(), self.kind)
+        side = np.repeat(late, size)
+        out[~side], out[side] = flat, np.fromiter(chain.from_iterable(more), self.kind)
+        return out, size
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """A row for each part of a word, in order: place of the part, and the word; the distinct parts.
+
+        Marks after a letter or number are a piece of their own, so they are a part.
+        """
+        base = pc.utf8_rtrim(words, characters=MARKS)
+        base = pc.if_else(pc.utf8_is_alnum(pc.utf8_slice_codeunits(base, -1)), base, words)
+        size, cut = (np.diff(_offsets(x)) for x in (words, base))
+        held = np.arange(size.sum()) - np.repeat(starts(size)[:-1], size) >= np.repeat(cut, size)
+        tail = _text(size - cut, _bytes(words)[held]).filter(pa.array(size > cut))
+        code = pa.concat_arrays([base, tail]).dictionary_encode()
+        at = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.append(np.arange(len(words)), np.flatnonzero(size > cut))
+        order = np.argsort(owner, kind="stable")
+        return at[order], owner[order], code.dictionary
+
+    def _pieces(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the parts and the number of each; letters alone are one piece."""
         find = self.bpe.pattern.findall
-        pieces, count = [], []
-        for w in new:
-            if w.isalpha():  # ASCII letters: one piece
-                pieces.append(w.lower())
-                count.append(1)
-                continue
-            if w.isascii():
-                t = w.decode().lower()
-            else:
-                t = normalize("NFC", w.decode("utf-8", "replace"))
-                t = t.lower() if "\u03a3" not in t else "".join(c.lower() for c in t)  # a final sigma isn't told apart
-            own = [x.encode() for x in find(t)]
-            pieces += own
-            count.append(len(own))
-        ids, lens = self.bpe.encode(pieces)
-        size = np.dtype(self.kind).itemsize
-        raw = ids.astype(self.kind).tobytes()
-        at = (starts(lens)[starts(np.array(count, np.int64))] * size).tolist()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(new, at, at[1:]))
-        for w in new:
-            if b"<|" in w:
-                if self.library is None:
-                    from tokenizers import Tokenizer
-
-                    self.library = Tokenizer.from_file(self.path)
-                self.known[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
+        single = pc.utf8_is_alpha(parts).to_numpy(zero_copy_only=False).astype(bool)
+        own = [[x.encode() for x in find(p)] for p in parts.filter(pa.array(~single)).to_pylist()]
+        count = np.ones(len(parts), np.int64)
+        count[~single] = np.fromiter(map(len, own), np.int64, len(own))
+        letters = parts.filter(pa.array(single))
+        rest = list(chain.from_iterable(own))
+        data = np.append(_bytes(letters), np.frombuffer(b"".join(rest), np.uint8))
+        ids, n = self.bpe.encode_raw(data, np.append(np.diff(_offsets(letters)), np.fromiter(map(len, rest), np.int64, len(rest))))
+        # those of single pieces come first: back to the order of the parts
+        first = np.empty(len(parts), np.int64)
+        first[single] = np.arange(len(letters))
+        first[~single] = len(letters) + starts(count[~single])[:-1]
+        pick = ranges(first, count)
+        at = starts(n)
+        size = np.bincount(np.repeat(np.arange(len(parts)), count), weights=n[pick], minlength=len(parts)).astype(np.int64)
+        return ids[ranges(at[pick], n[pick])].astype(self.kind), size
+
+
+#: marks that no contraction or special string of the pattern holds
+MARKS = '.,;:!?*&%$#@=+~^_()[]{}"-/'
+#: the least first byte of code points from U+0300 on
+LATER = 0xCC
+
+
+def _offsets(x: pa.Array) -> np.ndarray:
+    return np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+
+
+def _bytes(x: pa.Array) -> np.ndarray:
+    at = _offsets(x)
+    return np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+
+
+def _text(size: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(starts(size)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _holds(x: pa.Array, byte: int) -> np.ndarray:
+    """Whether each text has a byte of at least this value."""
+    at = _offsets(x) - _offsets(x)[0]
+    return np.diff(starts((_bytes(x) >= byte).astype(np.int64))[at]) > 0
 
 
 @lru_cache(maxsize=2)
-def _words(name: str, cache: int = CACHE_WORDS) -> Words:
-    return Words(name, cache)
+def _words(name: str) -> Words:
+    return Words(name)
 
 
-def keyed(tokenizer: str, end: int, cache: int = CACHE_WORDS, chunk: int = CHUNK_BYTES):
-    """For mapInArrow: doc_id, the curve key, ids as bytes, and the number of ids."""
+def keyed(tokenizer: str, end: int, chunk: int = CHUNK_BYTES):
+    """For mapInArrow: doc_id, the curve key, and ids as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _words(tokenizer, cache)
-        kind = tok.kind
-        tail = np.array([end], kind).tobytes()
+        tok = _words(tokenizer)
+        wide = np.dtype(tok.kind).itemsize
         for table, texts in chunks(batches, limit=chunk):
-            words, codes, lens = words_of(texts)
-            ids = tok.of(words)
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
-            at = starts(lens).tolist()
-            get, code = ids.__getitem__, codes.tolist()
-            raw = [b"".join(map(get, code[a:b])) + tail for a, b in zip(at, at[1:])]
-            n = np.bincount(np.repeat(np.arange(len(lens)), lens), weights=size[codes], minlength=len(lens)).astype(np.int64) + 1
-            key = curve_keys(word_hashes(words), codes, lens)
-            yield from pa.table({"doc_id": table.column("doc_id"), "key": key, "ids": pa.array(raw, pa.binary()), "n": n}).to_batches(max_chunksize=512)
+            words, codes, lens = cut_words(texts)
+            ids, size = tok.of(words)
+            # each text's end is one more word, the last
+            ids, size = np.append(ids, np.array([end], tok.kind)), np.append(size, 1)
+            last = np.cumsum(lens + 1) - 1
+            word = np.full(len(codes) + len(lens), len(words))
+            inside = np.ones(len(word), bool)
+            inside[last] = False
+            word[inside] = codes
+            n = size[word]
+            out = ids[ranges(starts(size)[word], n)]
+            at = np.append(0, np.cumsum(n)[last])
+            raw = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(at * wide), pa.py_buffer(out)])
+            key = curve_keys(word_hashes(words.to_pylist()), codes, lens)
+            yield from pa.table({"doc_id": table.column("doc_id"), "key": key, "ids": raw.cast(pa.binary())}).to_batches(max_chunksize=512)
 
     return run
 
@@ -225,19 +261,19 @@ def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kind if i == 0 else pa.int64()) for i, v in enumerate(zip(*rows))], names)
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end: int = END, partitions: int | None = None, cache: int = CACHE_WORDS, chunk: int = CHUNK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = LENGTH, end: int = END, partitions: int | None = None, chunk: int = CHUNK_BYTES) -> DataFrame:
     """One row per piece of a document; sequence_id and offset tell where it lies.
 
-    length is a power of two; cache (words) and chunk (bytes of text) bound a worker's memory. Equal keys are told apart by the document, so a large group of copies spreads.
+    length is a power of two; chunk (bytes of text) bounds a worker's memory; partitions is set by the bytes of ids. Equal keys are told apart by the document, so a large group of copies spreads.
     """
     if length & (length - 1):
         raise ValueError("length is a power of two")
     kind = docs.schema[key].dataType.simpleString()
     wide = _words(tokenizer).kind is np.uint32
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    ids = cut(rows.mapInArrow(keyed(tokenizer, end, cache, chunk), f"doc_id {kind}, key long, ids binary, n long"), "packing")
+    ids = cut(rows.mapInArrow(keyed(tokenizer, end, chunk), f"doc_id {kind}, key long, ids binary"), "packing")
     by = ["key", F.xxhash64("doc_id"), "doc_id"]
-    line = ids.drop("n").repartitionByRange(*([partitions] if partitions else []), *by).sortWithinPartitions(*by)
+    line = ids.repartitionByRange(partitions or 1 + cut_bytes(ids) // TASK_BYTES, *by).sortWithinPartitions(*by)
     return line.mapInArrow(cutter(length, wide), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
