@@ -50,8 +50,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left; smaller chunks and caches, as workers still hold memory of earlier stages."""
-    return packing.pack(docs, cache=60_000, chunk=1 << 20)
+    """Packs what is left; smaller chunks, as workers still hold memory of earlier stages."""
+    return packing.pack(docs, chunk=1 << 20)
 
 
 STAGES = [
