@@ -8,8 +8,10 @@ with k = 0 are alike only if equal; equal sets are one class from the start.
 
 Defined cases: null, empty or blank text has no shingle, is linked with nothing and is its own
 component; fewer than three words make one shingle; repeated rows stay and share a component;
-rows that share a doc_id count as separate documents with the same id. A null doc_id takes part;
-the component's id is the smallest that is not null.
+rows that share a doc_id count as separate documents with the same id. A null doc_id takes part
+and may bridge others; the component's id is the smallest that is not null. A text of any length
+is one set; sizes that tie fall in the same band; an empty table has no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES_LOWER, chunks, cut, mix, starts, windows, word_hashes, words_of
+from .common import BYTES_LOWER, chunks, cut, keyed_rows, least_row, mix, starts, windows, word_hashes, words_of
 from .linkage import linked, with_requests
 
 
@@ -94,41 +96,52 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(sig).astype(np.int64), np.concatenate(owner)
 
 
-def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, shingle: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: links where den * intersection >= num * union."""
+def jaccard_members(docs: DataFrame, num: int = 90, den: int = 100, shingle: int = 3) -> DataFrame:
+    """doc_id, version, n_shingles and root of every row: rows that links lead to share a root; none for an empty set.
+
+    Links where den * intersection >= num * union; version is the xxhash64 of the text.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
+    rows = keyed_rows(docs)
 
     def members(batches):
-        for table, texts in chunks(batches, limit=4 << 20):
-            keys, sizes = shingle_sets(texts, shingle)
-            yield from table.select(["doc_id"]).append_column("n_shingles", pa.array(sizes, pa.int64())).append_column("cls", pa.array(classes(keys, sizes), mask=sizes == 0)).to_batches()
-
-    def signed(batches):
-        for _, texts in chunks(batches, limit=4 << 20):
+        seen: set[int] = set()
+        for table, texts in chunks(batches):
             keys, sizes = shingle_sets(texts, shingle)
-            sig, owner = signatures(keys, sizes, num, den)
-            for part in pa.table({"sig": sig, "cls": classes(keys, sizes)[owner]}).to_batches(max_chunksize=20_000):
-                yield part
+            cls = classes(keys, sizes)
+            # a set signs once in a task; its other rows only name it
+            ids = cls.tolist()
+            new = np.array([bool(n) and c not in seen and not seen.add(c) for c, n in zip(ids, sizes.tolist())], bool)
+            sig, owner = signatures(keys[np.repeat(new, sizes)], sizes[new], num, den)
+            order = np.argsort(owner, kind="stable")
+            n = np.zeros(len(ids), np.int64)
+            n[new] = np.bincount(owner, minlength=int(new.sum()))
+            sigs = pa.ListArray.from_arrays(pa.array(starts(n).astype(np.int32)), pa.array(sig[order]))
+            out = table.select(["doc_id", "version"]).append_column("n_shingles", pa.array(sizes, pa.int64()))
+            yield from out.append_column("cls", pa.array(cls, mask=sizes == 0)).append_column("sigs", sigs).to_batches(max_chunksize=2_000)
 
     def items(batches):
-        for table, texts in chunks(batches, limit=4 << 20):
+        for table, texts in chunks(batches):
             keys, sizes = shingle_sets(texts, shingle)
-            at, ids = starts(sizes).tolist(), classes(keys, sizes)
-            hit = [i for i, w in enumerate(table.column("want").to_pylist()) if w == ids[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([keys[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary())], ["cls", "items"])
+            at = starts(sizes).tolist()
+            yield pa.RecordBatch.from_arrays([table.column("cls").combine_chunks(), pa.array([keys[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["cls", "items"])
 
-    member = cut(rows.mapInArrow(members, f"doc_id {kind}, n_shingles long, cls long"), "members")
+    member = cut(rows.mapInArrow(members, f"doc_id {kind}, version long, n_shingles long, cls long, sigs array<long>"), "members")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        first = member.where("cls IS NOT NULL AND doc_id IS NOT NULL").join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        wanted = cut(first.select("doc_id", F.col("cls").alias("want")), "wanted")
+        first = member.where("cls IS NOT NULL").join(ids, "cls", "left_semi").groupBy("cls").agg(least_row().alias("r"))
+        wanted = cut(first.select("cls", F.col("r.id").alias("id"), F.col("r.version").alias("of")), "wanted")
+        # rows repeated in full give a set twice
         return with_requests(rows, wanted).mapInArrow(items, "cls long, items binary").dropDuplicates(["cls"])
 
-    sigs = rows.where("doc_id IS NOT NULL").mapInArrow(signed, "sig long, cls long")
-    found = linked(sigs, sets_of, num, den).withColumnRenamed("node", "cls")
-    rooted = member.join(found, "cls", "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("root"))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("low"))
+    found = linked(member.select(F.explode("sigs").alias("sig"), "cls"), sets_of, num, den).withColumnRenamed("node", "cls")
+    return member.join(found, "cls", "left").select("doc_id", "version", "n_shingles", F.coalesce("comp", "cls").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, shingle: int = 3) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: links where den * intersection >= num * union."""
+    rooted = jaccard_members(docs, num, den, shingle)
+    least = cut(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("low")), "least")
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 

@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, same_row
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node reachable) of every node of edges a, b: large and small stars."""
+    """node, comp (the least node reachable) of every node of edges a, b: large and small stars.
+
+    The least neighbours are cut before edges join them, so that the join may split hot nodes.
+    """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
@@ -30,14 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+        made = [e]
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", made)
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large", made)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), "low", made)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = cut(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        drop(e)
-        e = new
+        e = cut(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(*made)
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
@@ -84,30 +87,33 @@ def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def linked(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """node, comp of every set that links to another.
 
-    sigs: sig, cls, one row for each signature of a set; sets_of: cls -> cls, items for some.
+    sigs: sig, cls, one row for each signature of a set, or several; sets_of: cls -> cls, items for some.
+
+    What is aggregated by a key is cut before rows join it, so that the join may split hot keys.
     """
-    own = Window.partitionBy("sig")
-    met = sigs.withColumn("low", F.min("cls").over(own)).withColumn("top", F.max("cls").over(own)).where("low <> top")
-    buckets = cut(met.select("sig", "cls").distinct(), "buckets")
-    sets = cut(sets_of(buckets.select("cls").distinct()), "sets")
+    made: list[DataFrame] = []
+    met = cut(sigs.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("sig"), "met", made)
+    buckets = cut(sigs.join(met, "sig", "left_semi").distinct(), "buckets", made)
+    sizes = cut(buckets.groupBy("sig").agg(F.count("*").alias("m")), "sizes", made)
     # the more others a set meets in all its buckets, the more central it is
-    sized = buckets.withColumn("m", F.count("*").over(own))
-    ranked = cut(buckets.join(sized.groupBy("cls").agg(F.sum("m").alias("degree")), "cls"), "ranked")
-    drop(buckets)
-    hubs = ranked.groupBy("sig").agg(F.max(F.struct("degree", "cls")).alias("hub"))
+    degrees = cut(buckets.join(sizes, "sig").groupBy("cls").agg(F.sum("m").alias("degree")), "degrees", made)
+    sets = cut(sets_of(degrees.select("cls")), "sets", made)
+    ranked = buckets.join(degrees, "cls")
+    hubs = cut(ranked.groupBy("sig").agg(F.max(F.struct("degree", "cls")).alias("hub")), "hubs", made)
     stars = ranked.join(hubs, "sig").where("cls <> hub.cls").groupBy("cls").agg(F.max("hub").alias("hub"))
-    best = cut(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")), "pairs")
-    labels = components(cut(verified(best, sets, num, den), "links"))
-    left = _mixed(ranked, labels).join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
-    left = cut(left.join(sets, "cls"), "mixed")
-    pairs = prefix_pairs(left, num, den).unionAll(change_pairs(left, sets, num, den)).distinct()
+    best = cut(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")), "pairs", made)
+    labels = components(cut(verified(best, sets, num, den), "links", made))
+    left = _mixed(buckets, labels, made).join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
+    left = cut(left.join(sets, "cls"), "mixed", made)
+    pairs = prefix_pairs(left, num, den, made).unionAll(change_pairs(left, sets, num, den, made)).distinct()
     known = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets, num, den), "links")
-    drop(ranked)
-    return joined(labels, more)
+    more = cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets, num, den), "links", made)
+    out = joined(labels, more)
+    drop(*made)
+    return out
 
 
-def exploded(sets: DataFrame, num: int, den: int) -> DataFrame:
+def exploded(sets: DataFrame, made: list) -> DataFrame:
     """A row for each element of each of sets (cls, comp, hub, items, n): its place from the rarest on.
 
     n is the size of the set behind it; df tells how many rows of the same hub have the element.
@@ -125,26 +131,27 @@ def exploded(sets: DataFrame, num: int, den: int) -> DataFrame:
                 yield from pa.table([*columns, np.concatenate(sets), size[own].astype(np.int32)], names=[*names, "el", "d"]).to_batches(max_chunksize=20_000)
 
     rows = sets.mapInArrow(opened, "cls long, comp long, hub long, within long, n int, el long, d int")
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("within", "el")))
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "el"))
+    common = cut(rows.groupBy("within", "el").agg(F.count("*").alias("df")).where("df > 1"), "common", made)
+    rows = rows.join(common, ["within", "el"], "left")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(1)), "el"))
     return rows.withColumn("place", place).where("df > 1")
 
 
-def prefix_pairs(left: DataFrame, num: int, den: int) -> DataFrame:
+def prefix_pairs(left: DataFrame, num: int, den: int, made: list) -> DataFrame:
     """a, b: pairs of different components and hubs that share one of their rarest elements.
 
     Sets of n elements whose similarity is at least num / den share one of the
     n - ceil(num * n / den) + 1 rarest of each, in any one order of the elements; of two known
     sizes that must share t elements, one of the n - t + 1 rarest of each.
     """
-    rows = exploded(left.select("cls", "comp", "hub", F.lit(0).cast("long").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items"), num, den)
-    kept = cut(rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub", "n", "place"), "prefixes")
+    rows = exploded(left.select("cls", "comp", "hub", F.lit(0).cast("long").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items"), made)
+    kept = cut(rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub", "n", "place"), "prefixes", made)
     x, y = (kept.select("el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("hub", "h"), ("n", "n"), ("place", "p"))]) for c in "ab")
     share = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"  # what alike sets of these sizes share at least
     return x.join(y, "el").where(f"a > b AND ca <> cb AND ha <> hb AND pa <= na - {share} + 1 AND pb <= nb - {share} + 1").select("a", "b")
 
 
-def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, made: list) -> DataFrame:
     """a, b: pairs of different components with the same hub that share a rare change against it.
 
     With D a set's symmetric difference to the hub, two sets differ in |Dx| + |Dy| - 2 |Dx & Dy|
@@ -162,23 +169,29 @@ def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
     base = sets.select(F.col("cls").alias("hub"), F.col("items").alias("base"))
     own = left.join(base, "hub").select("cls", "comp", "hub", F.col("hub").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items", "base")
-    rows = exploded(own.mapInArrow(changes, "cls long, comp long, hub long, within long, n int, items binary"), num, den)
+    rows = exploded(own.mapInArrow(changes, "cls long, comp long, hub long, within long, n int, items binary"), made)
     most = f"(n * {den - num} div {num})"
-    kept = cut(rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", "n", "place", F.expr(f"place <= {most} div 2 + 1").alias("small")), "changes")
+    kept = cut(rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", "n", "place", F.expr(f"place <= {most} div 2 + 1").alias("small")), "changes", made)
     x, y = (t.select("within", "el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("d", "d"), ("n", "n"), ("place", "p"))]) for c, t in (("a", kept.where("small")), ("b", kept)))
     share = f"greatest(1, (da + db - (na + nb) * {den - num} div {num + den} + 1) div 2)"
     met = f"a <> b AND da <= db AND ca <> cb AND pa <= da - {share} + 1 AND pb <= db - {share} + 1"
     return x.join(y, ["within", "el"]).where(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def _mixed(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(buckets: DataFrame, labels: DataFrame, made: list) -> DataFrame:
     """cls, comp of the sets in buckets that hold several components."""
-    labelled = ranked.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    labelled = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
+    mixed = cut(labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "mixed", made)
     return labelled.join(mixed, "sig", "left_semi").select("cls", "comp").distinct()
 
 
-def with_requests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text, want: the rows of docs that a request (doc_id, want) names."""
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
+def few(df: DataFrame, size: str = "0") -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_BYTES at most, at 64 bytes a row and 8 for each of ``size``."""
+    rows, more = df.agg(F.count("*"), F.sum(F.expr(size))).first()
+    return F.broadcast(df) if 64 * rows + 8 * (more or 0) <= BROADCAST_BYTES else df
+
+
+def with_requests(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text, cls: the rows (doc_id, text, version) that requests (cls, id, of) name."""
+    w = few(wanted, "octet_length(cast(id AS string)) div 8")
+    return rows.join(w, same_row(rows, w)).select("doc_id", "text", "cls")
