@@ -6,6 +6,7 @@ must be filled up with zeros, never which value a coordinate has.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 
@@ -102,6 +103,25 @@ class Format:
         """An index that the format lacks is broadcast: dense."""
         return dict(self.levels).get(index, DENSE)
 
+    def _place(self, index: str) -> int:
+        if index not in self.indices:
+            raise ValueError(f"no level of {index} in {self.indices}")
+        return self.indices.index(index)
+
+    def next(self, index: str) -> str | None:
+        """The index of the level below; none below the last."""
+        at = self._place(index) + 1
+        return self.indices[at] if at < len(self.levels) else None
+
+    def previous(self, index: str) -> str | None:
+        """The index of the level above; none above the first."""
+        at = self._place(index)
+        return self.indices[at - 1] if at else None
+
+    @property
+    def last_sparse(self) -> str | None:
+        return ([None] + [i for i, f in self.levels if f.sparse])[-1]
+
     def without(self, index: str) -> Format:
         return Format(tuple(x for x in self.levels if x[0] != index))
 
@@ -131,7 +151,16 @@ def merged_order(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(out)
 
 
+def compatible_formats(a: Format, b: Format) -> bool:
+    """Whether one order of levels keeps those of both."""
+    shared = [i for i in a.indices if i in b.indices]
+    return shared == [i for i in b.indices if i in a.indices]
+
+
 def combine(a: Format, b: Format, levels) -> Format:
+    """Formats whose orders contradict are taken in a's order, with a warning: values don't depend on it."""
+    if not compatible_formats(a, b):
+        warnings.warn(f"{b.indices} is taken in the order of {a.indices}", stacklevel=4)
     order = merged_order(a.indices, b.indices)
     return Format(tuple((i, levels(a.level(i), b.level(i))) for i in order))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Callable
+from pathlib import Path
 
-from .plans.expr import Expr, Tensor, contract, declare, operands
+from .plans.expr import Add, Bc, Expr, Tensor, contract, declare, operands
 from .plans.lower import REAL, Semiring, evaluate
+from .sources import text
 from .tensor import SparseTensor
 
 CPU, GPU = "cpu", "gpu"
@@ -16,6 +19,8 @@ class Kernel:
     """Kernel("csr_add").expr(a + b).emit() gives a callable and registers it."""
 
     registry: dict[str, Kernel] = {}
+    #: what each kernel can be called by, unless its bindings are off
+    callables: dict[str, Kernel] = {}
 
     def __init__(self, name: str):
         self.name, self._expr, self._order = name, None, None
@@ -34,23 +39,27 @@ class Kernel:
         return self
 
     def result_name(self, name: str) -> Kernel:
+        """The name of the tensor that a call returns."""
         self._result = name
         return self
 
     def operand_ordering(self, names) -> Kernel:
+        """The order of a call's operands; by name otherwise."""
         self._order = list(names)
         return self
 
     def python_name(self, target: str, name: str) -> Kernel:
+        """The name that ``function`` finds the kernel by, in place of the target's own."""
         self._python[target] = name
         return self
 
     def bindings(self, on: bool) -> Kernel:
+        """Whether the kernel can be called by name."""
         self._bind = on
         return self
 
     def recursive_partitioning(self, on: bool) -> Kernel:
-        """Whether shared outer coordinates restrict operands before they meet."""
+        """Whether what operands share in an outer index restricts them before they meet in the inner ones."""
         self._prefilter = on
         return self
 
@@ -76,6 +85,10 @@ class Kernel:
 
     def emit(self) -> Kernel:
         self.order()
+        taken = [n for n in self.names if Kernel.callables.get(n, self).name != self.name]
+        if taken:
+            raise ValueError(f"{', '.join(taken)} is another kernel's name")
+        Kernel.callables = {n: k for n, k in Kernel.callables.items() if k.name != self.name} | dict.fromkeys(self.names, self)
         Kernel.registry[self.name] = self
         return self
 
@@ -88,18 +101,42 @@ class Kernel:
             want = self.declared()[n]
             if len(t.indices) != len(want.names):
                 raise ValueError(f"{n} has {len(want.names)} indices, not {len(t.indices)}")
-        return evaluate(self._bound(self._expr, given), rewrite=rewrite, prefilter=self._prefilter if prefilter is None else prefilter, ring=ring)
+        got = evaluate(self._bound(self._expr, given), rewrite=rewrite, prefilter=self._prefilter if prefilter is None else prefilter, ring=ring)
+        got.name = self._result
+        return got
+
+    def described(self) -> dict:
+        """Names, operands in order with their layouts, the expression and the result."""
+        known = self.declared()
+        form = lambda f: f.name or f.signature
+        return {"kernel": self.name, "names": self.names, "targets": list(self._targets), "operands": [{"name": n, "indices": list(known[n].names), "layout": form(known[n].format), "dtype": known[n].dtype} for n in self.order()], "expression": written(self._expr), "result": {"name": self._result, "indices": list(self._expr.indices), "layout": form(self._expr.format)}, "recursive_partitioning": self._prefilter}
 
     def _bound(self, e: Expr, given: dict[str, SparseTensor]) -> Expr:
         if isinstance(e, Tensor):
             t = given[e.name]
             form = type(e.declared)(tuple((c, f) for c, (_, f) in zip(t.indices, e.declared.levels)))
-            return Tensor(SparseTensor(t.df, t.indices, t.shape, form, t.dtype, t.rows), e.names, e.name)
+            return Tensor(SparseTensor(t.df, t.indices, t.shape, form, t.dtype), e.names, e.name)
         if hasattr(e, "left"):
             return type(e)(self._bound(e.left, given), self._bound(e.right, given))
         return type(e)(e.index, self._bound(e.body, given))
 
 
+def written(e: Expr) -> str:
+    """An expression as text."""
+    if isinstance(e, Tensor):
+        return f"{e.name}({','.join(e.names)})"
+    if hasattr(e, "left"):
+        return f"({written(e.left)} {'+' if isinstance(e, Add) else '*'} {written(e.right)})"
+    return f"{'bc' if isinstance(e, Bc) else 'sum'}({e.index}, {written(e.body)})"
+
+
+def function(name: str) -> Kernel:
+    """The kernel that is called by this name."""
+    if name not in Kernel.callables:
+        raise KeyError(f"no kernel is called {name}")
+    return Kernel.callables[name]
+
+
 def select(names: str | None = None) -> dict[str, Kernel]:
     """Kernels by a comma-separated list; all without one."""
     if not names:
@@ -133,12 +170,34 @@ def _shipped() -> None:
 _shipped()
 
 
+def load(spark, path: str, indices: tuple[str, ...]) -> SparseTensor:
+    """An operand: Matrix Market text by its ending, else coordinate text."""
+    return text.read_matrix_market(spark, path, indices) if path.rstrip("/").endswith((".mtx", ".mtx.gz")) else text.read_tns(spark, path, indices)
+
+
 def main(args: list[str] | None = None) -> None:
-    """Lists kernels and the names that they can be called by."""
+    """Lists kernels; with an output folder, describes each there, or runs it on operands in files."""
     p = argparse.ArgumentParser(description=main.__doc__)
     p.add_argument("--kernels", help="comma-separated names; all by default")
-    for name, k in select(p.parse_args(args).kernels).items():
+    p.add_argument("--output-dir", help="gets KERNEL.json for each kernel, or KERNEL.tns with operands")
+    p.add_argument("operands", nargs="*", help="files of each operand in order: .mtx, or text of coordinates and values")
+    given = p.parse_args(args)
+    chosen = select(given.kernels)
+    if given.operands and not given.output_dir:
+        p.error("operands need --output-dir")
+    for name, k in chosen.items():
         print(name, *k.order(), "->", k._expr.format.name or k._expr.format.signature, *k.names)
+        if given.operands:
+            from pyspark.sql import SparkSession
+
+            if len(given.operands) != len(k.order()):
+                p.error(f"{name} takes {len(k.order())} operands")
+            spark = SparkSession.builder.getOrCreate()
+            tensors = [load(spark, f, k.declared()[n].names) for n, f in zip(k.order(), given.operands)]
+            text.write_tns(k(*tensors), f"{given.output_dir}/{name}.tns")
+        elif given.output_dir:
+            Path(given.output_dir).mkdir(parents=True, exist_ok=True)
+            (Path(given.output_dir) / f"{name}.json").write_text(json.dumps(k.described(), indent=1))
 
 
 if __name__ == "__main__":

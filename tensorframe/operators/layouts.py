@@ -5,7 +5,9 @@ A fibre is cut into parts of ``WIDTH`` coordinates, so that one long row never m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import Format
@@ -31,9 +33,41 @@ def from_csr(df: DataFrame, i: str = "i", j: str = "j", shape: dict[str, int] |
     return SparseTensor(flat, (i, j), dict(shape or {}), Format.of(layout, i, j), dtype)
 
 
+#: rows that one prefix sum covers
+STEP = 1 << 16
+
+
+def _running(df: DataFrame, at: str, n: str, out: str) -> DataFrame:
+    """df with ``out``, the sum of n over all smaller values of at: sums by block first, then inside of each."""
+    block = F.floor(F.col(at) / STEP).cast("bigint")
+    sized = df.withColumn("_block", block)
+    whole = sized.groupBy("_block").agg(F.sum(n).alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each STEP rows
+    inner = F.coalesce(F.sum(n).over(Window.partitionBy("_block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = sized.withColumn("_inner", inner).join(F.broadcast(whole.select("_block", before.alias("_before"))), "_block")
+    return got.withColumn(out, (F.col("_before") + F.col("_inner")).cast("bigint")).drop("_block", "_inner", "_before")
+
+
+def csr_offsets(t: SparseTensor) -> DataFrame:
+    """i, start, n: for every row of the shape where its entries start, rows that store nothing among them."""
+    i, _ = t.indices
+    every = t.df.sparkSession.range(t.shape[i]).select(F.col("id").alias(i))
+    n = every.join(t.df.groupBy(i).agg(F.count("*").alias("n")), i, "left").select(i, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return _running(n, i, "n", "start").select(i, "start", "n")
+
+
+def dcsr_offsets(t: SparseTensor) -> DataFrame:
+    """p, i, start, n: the stored rows, numbered in order, and where the entries of each start."""
+    i, _ = t.indices
+    n = t.df.groupBy(i).agg(F.count("*").cast("bigint").alias("n"))
+    got = _running(_running(n, i, "n", "start").withColumn("_one", F.lit(1)), i, "_one", "p")
+    return got.select("p", i, "start", "n")
+
+
 def to_dcsr(t: SparseTensor, width: int = WIDTH) -> DataFrame:
-    """As to_csr: rows that store nothing are absent from both."""
-    return to_csr(t, width)
+    """p, i, part, indices, values: as to_csr, with the number of each stored row."""
+    i, _ = t.indices
+    return to_csr(t, width).join(dcsr_offsets(t).select("p", i), i).select("p", i, "part", "indices", "values")
 
 
 def from_dcsr(df: DataFrame, **k) -> SparseTensor:
@@ -51,12 +85,13 @@ def from_coo(df: DataFrame, indices: list[str], **k) -> SparseTensor:
 
 
 def to_csf3(t: SparseTensor, width: int = WIDTH) -> DataFrame:
-    """i, part, fibres: for each i the j's, and for each j its k's and values."""
+    """i, part, kpart, fibres: for each i the j's, and for each j its k's and values, ``width`` entries at most."""
     i, j, k = t.indices
-    low = _fibres(t.df, [i, j], k, width)
-    part = F.floor(F.col(j) / width).cast("bigint").alias("part")
-    inner = F.struct(F.col(j).alias("j"), F.col("part").alias("kpart"), "indices", "values")
-    return low.groupBy(i, part).agg(F.sort_array(F.collect_list(inner)).alias("fibres"))
+    side = max(math.isqrt(width), 1)
+    low = _fibres(t.df, [i, j], k, side).withColumnRenamed("part", "kpart")
+    part = F.floor(F.col(j) / side).cast("bigint").alias("part")
+    inner = F.struct(F.col(j).alias("j"), "indices", "values")
+    return low.groupBy(i, part, "kpart").agg(F.sort_array(F.collect_list(inner)).alias("fibres"))
 
 
 def from_csf3(df: DataFrame, i: str = "i", j: str = "j", k: str = "k", shape: dict[str, int] | None = None, dtype: str = "double") -> SparseTensor:

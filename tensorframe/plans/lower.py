@@ -5,9 +5,10 @@ on shared indices; contractions aggregate over what is left, with partial aggreg
 shuffle. Rewrites keep values and the set of stored coordinates:
 
 * an index that occurs in one factor only is summed there before the join;
-* factors are joined smallest first among those that share an index, where row counts are known;
-* with ``prefilter``, a factor whose indices all stay in the result restricts the others by
-  semi-join before they meet;
+* a factor whose indices all stay in the result is a mask: it joins second, so that nothing outside
+  of it is ever multiplied out, and the factors after it join on more indices;
+* with ``prefilter``, factors that meet in several indices are first restricted to what they share
+  in the outermost one, by semi-joins: by the mask that has it, or each by the other;
 * a broadcast under a product is dropped where another factor has the index.
 """
 
@@ -48,9 +49,12 @@ class Lowering:
             raise ValueError(f"the extent of {index} isn't known, so nothing can be broadcast along it")
         return self.spark.range(self.sizes[index]).select(F.col("id").alias(index))
 
-    def guard(self, indices) -> None:
-        if math.prod(self.sizes.get(i, 1) for i in indices) > MOST_DENSE:
-            raise ValueError(f"a dense result over {tuple(indices)} is too large")
+    def guard(self, stored: DataFrame, have, dense) -> None:
+        """Refuses more than MOST_DENSE coordinates: those of ``have``, counted if an extent isn't known, times those of ``dense``."""
+        most = math.prod(self.sizes[i] for i in have) if all(i in self.sizes for i in have) else math.inf
+        room = MOST_DENSE // max(math.prod(self.sizes[i] for i in dense), 1)
+        if most > room and stored.select(*have).distinct().limit(min(room, 2**31 - 2) + 1).count() > room:
+            raise ValueError(f"a dense result over {(*have, *dense)} is too large")
 
     def rows(self, e: Expr) -> DataFrame:
         """Columns: e's indices in order, and v; the indices are a key."""
@@ -58,8 +62,9 @@ class Lowering:
             df = e.source.df.select(*[F.col(c).alias(i) for c, i in zip(e.source.indices, e.names)], VALUE)
             return df.select(*e.indices, VALUE)
         if isinstance(e, Bc):
-            self.guard(e.indices)
-            return self.rows(e.body).crossJoin(self.range(e.index)).select(*e.indices, VALUE)
+            body, wide = self.rows(e.body), self.range(e.index)
+            self.guard(body, e.body.indices, (e.index,))
+            return body.crossJoin(wide).select(*e.indices, VALUE)
         if isinstance(e, Add):
             return self.added(e)
         if isinstance(e, Mul):
@@ -82,29 +87,39 @@ class Lowering:
             while self.rewrite and isinstance(p, Bc) and p.index in have:
                 p = p.body
             slim.append(p)
-        parts = in_order(slim) if self.rewrite else slim
+        parts = in_order(slim, kept) if self.rewrite else slim
         frames = [self.rows(p) for p in parts]
-        if self.prefilter:
-            masks = [k for k, p in enumerate(parts) if len(p.indices) > 1 and set(p.indices) <= set(kept)]
-            for m in masks:
-                for k, p in enumerate(parts):
-                    shared = [i for i in p.indices if i in parts[m].indices]
-                    if k != m and shared and k not in masks:
-                        frames[k] = frames[k].join(frames[m].select(*shared).distinct(), shared, "left_semi")
         out, seen = None, set()
-        for p, df in zip(parts, frames):
+        for at, (p, df) in enumerate(zip(parts, frames)):
             self.fresh += 1
             own = f"_v{self.fresh}"
+            shared = [i for i in p.indices if i in seen]
+            if self.prefilter and len(shared) > 1:
+                masks = [k for k in range(at) if is_mask(parts[k], kept)] if len(parts) > 2 else []
+                outer, by = next(((i, k) for k in masks for i in shared if i in parts[k].indices), (shared[0], None))
+                before = frames[by] if by is not None else out
+                if by is None:
+                    out = out.join(df.select(outer).distinct(), outer, "left_semi")
+                df = df.join(before.select(outer).distinct(), outer, "left_semi")
             df = df.withColumnRenamed(VALUE, own)
             if out is None:
                 out = df.withColumnRenamed(own, VALUE)
             else:
-                shared = [i for i in p.indices if i in seen]
-                out = out.join(df, shared) if shared else out.crossJoin(df)
+                if shared:
+                    out = out.join(df, shared)
+                else:
+                    self.crossed(out, seen, df, p)
+                    out = out.crossJoin(df)
                 out = out.withColumn(VALUE, self.ring.times(F.col(VALUE), F.col(own))).drop(own)
             seen |= set(p.indices)
         return out
 
+    def crossed(self, left: DataFrame, have, right: DataFrame, p: Expr) -> None:
+        """Refuses a product without shared indices of more than MOST_DENSE rows, counted where an extent isn't known."""
+        many = lambda df, indices: math.prod(self.sizes[i] for i in indices) if all(i in self.sizes for i in indices) else df.count()
+        if many(left, have) * many(right, p.indices) > MOST_DENSE:
+            raise ValueError(f"the product over {(*have, *p.indices)} is too large")
+
     def contracted(self, e: Sum) -> DataFrame:
         gone, body = [e.index], e.body
         while isinstance(body, Sum):
@@ -132,7 +147,7 @@ class Lowering:
     def filled(self, df: DataFrame, indices: tuple[str, ...], dense: tuple[str, ...]) -> DataFrame:
         """df with a row for every coordinate of the dense indices below each stored prefix."""
         prefix = [i for i in indices if i not in dense]
-        self.guard(dense)
+        self.guard(df, prefix, dense)
         grid = df.select(*prefix).distinct() if prefix else None
         for i in dense:
             grid = self.range(i) if grid is None else grid.crossJoin(self.range(i))
@@ -147,16 +162,17 @@ def factors(e: Expr) -> list[Expr]:
     return factors(e.left) + factors(e.right) if isinstance(e, Mul) else [e]
 
 
-def in_order(parts: list[Expr]) -> list[Expr]:
-    """Smallest first, then what shares most indices, then the smallest; as written if a count is unknown."""
-    rows = {id(p): p.source.rows if isinstance(p, Tensor) else None for p in parts}
+def is_mask(p: Expr, kept: tuple[str, ...]) -> bool:
+    return len(p.indices) > 1 and set(p.indices) <= set(kept)
+
+
+def in_order(parts: list[Expr], kept: tuple[str, ...]) -> list[Expr]:
+    """The first, then always what shares most indices with those before; of these masks first, then as written."""
     if len(parts) < 3:
         return parts
-    left, out, seen = list(parts), [], set()
-    known = all(rows.values())
+    left, out, seen = list(parts[1:]), parts[:1], set(parts[0].indices)
     while left:
-        rank = lambda p: (-len(seen & set(p.indices)), rows[id(p)] if known else 0)
-        best = min(left, key=rank) if out or known else left[0]
+        best = min(left, key=lambda p: (-len(seen & set(p.indices)), not is_mask(p, kept)))
         left.remove(best)
         out.append(best)
         seen |= set(best.indices)

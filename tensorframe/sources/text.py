@@ -39,18 +39,28 @@ def _entries(lines: DataFrame, rank: int, names: list[str], dtype: str) -> DataF
 
 
 def read_matrix_market(spark: SparkSession, path: str, indices: tuple[str, ...] = ("i", "j"), dtype: str = "double") -> SparseTensor:
-    """One file. Entries off the diagonal are mirrored as its symmetry says; duplicates are summed."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    first = lines.first()
+    """A file, or the parts of one in a folder. Entries off the diagonal are mirrored as its symmetry says; duplicates are summed.
+
+    Fewer or more entries than declared raise at once, a coordinate outside of the extents when it is read.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where(F.startswith(F.lower("value"), F.lit("%%matrixmarket"))).orderBy("file", "block", "at").first() or lines.first()
     if first is None:
         raise ValueError(f"{path} is empty")
     symmetry = banner_of(first["value"])
     body = lines.where(~F.startswith(F.ltrim("value"), F.lit("%")) & (F.trim("value") != ""))
-    head = body.orderBy("at").first()
-    *sizes, _ = map(int, head["value"].split())
+    head = body.where(F.col("file") == first["file"]).orderBy("block", "at").first()
+    if head is None:
+        raise ValueError(f"{path} declares no extents")
+    *sizes, declared = map(int, head["value"].split())
     if len(sizes) != len(indices):
         raise ValueError(f"{len(sizes)} extents for {len(indices)} indices")
-    got = _entries(body.where(F.col("at") > head["at"]), len(sizes), list(indices), dtype)
+    entries = body.where(~((F.col("file") == head["file"]) & (F.col("block") == head["block"]) & (F.col("at") == head["at"])))
+    if (found := entries.count()) != declared:
+        raise ValueError(f"{path} declares {declared} entries and has {found}")
+    got = _entries(entries, len(sizes), list(indices), dtype)
+    inside = lambda i, n: F.when((F.col(i) >= 0) & (F.col(i) < n), F.col(i)).otherwise(F.raise_error(F.lit(f"a coordinate of {i} lies outside of its extent {n}")).cast("bigint")).alias(i)
+    got = got.select(*[inside(i, n) for i, n in zip(indices, sizes)], VALUE)
     if symmetry != "general":
         i, j = indices
         sign = -1.0 if symmetry == "skew-symmetric" else 1.0
@@ -60,14 +70,14 @@ def read_matrix_market(spark: SparkSession, path: str, indices: tuple[str, ...]
 
 
 def write_matrix_market(t: SparseTensor, path: str) -> None:
-    """One text file in a folder: for exports that one task can write."""
+    """Text files in a folder that follow one another by name, the banner in the first."""
     n = t.df.count()
     spark = t.df.sparkSession
     sizes = " ".join(str(t.shape[i]) for i in t.indices)
     head = spark.createDataFrame([(0, f"%%MatrixMarket {'matrix' if len(t.indices) == 2 else 'tensor'} coordinate real general"), (1, f"{sizes} {n}")], "o long, value string")
     body = t.df.select(F.lit(2).cast("bigint").alias("o"), *t.indices, _line(t).alias("value"))
     head = head.select("o", *[F.lit(0).cast("bigint").alias(i) for i in t.indices], "value")
-    head.unionAll(body).coalesce(1).sortWithinPartitions("o", *t.indices).select("value").write.text(path)
+    head.unionAll(body).orderBy("o", *t.indices).select("value").write.text(path)
 
 
 def _line(t: SparseTensor):

@@ -16,7 +16,7 @@ VALUE = "v"
 class SparseTensor:
     """df has the columns ``indices`` (bigint, unique together) and ``v``.
 
-    shape gives the extent of an index where it is known; rows is an estimate for join ordering.
+    shape gives the extent of an index where it is known; name is what a kernel calls its result.
     """
 
     df: DataFrame
@@ -24,7 +24,7 @@ class SparseTensor:
     shape: dict[str, int] = field(default_factory=dict)
     format: Format | None = None
     dtype: str = "double"
-    rows: int | None = None
+    name: str = ""
 
     def __post_init__(self):
         if self.format is None:
@@ -34,7 +34,7 @@ class SparseTensor:
             raise ValueError(f"format has {self.format.indices}, tensor has {self.indices}")
 
     @classmethod
-    def from_df(cls, df: DataFrame, indices: dict[str, str] | list[str], value: str = VALUE, shape: dict[str, int] | None = None, format: Format | str | None = None, dtype: str = "double", unique: bool = False, rows: int | None = None) -> SparseTensor:
+    def from_df(cls, df: DataFrame, indices: dict[str, str] | list[str], value: str = VALUE, shape: dict[str, int] | None = None, format: Format | str | None = None, dtype: str = "double", unique: bool = False) -> SparseTensor:
         """indices: name of each index, or index: column. Duplicates are summed unless unique is known.
 
         A null coordinate or value fails the query that reads it.
@@ -45,7 +45,7 @@ class SparseTensor:
         if not unique:
             got = got.groupBy(*names).agg(F.sum(VALUE).cast(dtype).alias(VALUE)) if names else got.agg(F.coalesce(F.sum(VALUE), F.lit(0.0)).cast(dtype).alias(VALUE))
         form = Format.of(format, *names) if isinstance(format, str) else format
-        return cls(got, tuple(names), dict(shape or {}), form, dtype, rows)
+        return cls(got, tuple(names), dict(shape or {}), form, dtype)
 
     def __getitem__(self, names) -> object:
         """a["i", "j"]: this tensor in an expression, under these index names."""
@@ -53,3 +53,16 @@ class SparseTensor:
 
         names = (names,) if isinstance(names, str) else tuple(names)
         return Tensor(self, names)
+
+    @classmethod
+    def from_arrow(cls, spark, table, indices: list[str], **k) -> SparseTensor:
+        """From an Arrow table with a column for each index and v; duplicates are summed. k: as for from_df."""
+        return cls.from_df(spark.createDataFrame(table), indices, **k)
+
+    def to_arrow(self):
+        """Coordinates in order and values, as columns of an Arrow table on the driver: for results that fit there."""
+        return self.df.orderBy(*self.indices).toArrow()
+
+    def to_pandas(self):
+        """As to_arrow, for pandas."""
+        return self.to_arrow().to_pandas()

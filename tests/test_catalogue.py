@@ -41,11 +41,11 @@ def test_whole_extents(spark, sql):
     run = lambda name: {tuple(r)[:2]: r.v for r in catalogue.QUERIES[name](spark, str(DATA)).collect()}
     r = {(i, j): v for i, j, v in sql.sql(f"SELECT i, j, v FROM {catalogue.R}").fetchall()}
     size, nation = (dict(sql.sql(f"SELECT * FROM {t}").fetchall()) for t in (catalogue.SIZE, catalogue.NATION))
-    assert run("x_outer_whole") == {(i, j): x * y for i, x in nation.items() for j, y in size.items()}
+    assert run("x_outer") == {(i, j): x * y for i, x in nation.items() for j, y in size.items()}
     want = {(i, j): y for i in range(max(nation) + 1) for j, y in size.items()}
     for at, v in r.items():
         want[at] = want.get(at, 0) + v
-    assert run("x_add_bc_whole") == want
+    assert run("x_add_bc") == want
     by, dot = {}, {}
     for (i, j), v in r.items():
         by.setdefault(j, []).append((i, v))
@@ -53,4 +53,4 @@ def test_whole_extents(spark, sql):
         for i, x in row:
             for k, y in row:
                 dot[i, k] = dot.get((i, k), 0) + x * y
-    assert run("x_self_product_whole") == dot and max(len(x) for x in by.values()) > 1
+    assert run("x_self_product") == dot and max(len(x) for x in by.values()) > 1
