@@ -135,6 +135,10 @@ def test_errors(spark):
     assert evaluate(f["i", "j"] + f["i", "j"]).df.schema["v"].dataType.simpleString() == "float"
 
 
+def plan(t):
+    return t.df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_plans(spark):
     a, b, c = (make(spark, {(0, 0): n}) for n in (1, 2, 3))
 
@@ -145,6 +149,36 @@ def test_plans(spark):
     assert exchanges(fused) <= exchanges(evaluate(a["i", "j"] + b["i", "j"] + c["i", "j"], rewrite=False))
 
 
+def test_recursive_partitioning_restricts_rows(spark):
+    """The switch adds a semi-join on the outer index to each side, and changes no value."""
+    rng = random.Random(9)
+    x, y = rand(rng, (30, 6), 40), rand(rng, (30, 6), 40)
+    a, b = make(spark, x), make(spark, y)
+    on, off = (Kernel.registry[n](a, b) for n in ("dcsr_mul", "dcsr_mul_without_recursive_partitioning"))
+    assert plan(on).count("LeftSemi") == 2 and "LeftSemi" not in plan(off)
+    assert cells(on) == cells(off) == times(x, y)
+
+
+def test_a_mask_comes_before_the_product(spark):
+    """What the mask lacks is never multiplied out; prefiltering restricts by the mask alone."""
+    rng = random.Random(10)
+    x, y, m = rand(rng, (9, 8), 30), rand(rng, (8, 9), 30), rand(rng, (9, 9), 12)
+    a, b, c = make(spark, x), make(spark, y, "jk"), make(spark, m, "ik")
+    from tensorframe.plans.lower import factors, in_order
+
+    e = contract("j", a["i", "j"] * b["j", "k"] * c["i", "k"])
+    order = [p.names for p in in_order(factors(e.body), ("i", "k"))]
+    assert order == [("i", "j"), ("i", "k"), ("j", "k")]
+    want = {}
+    for (i, j), v in x.items():
+        for (j2, k), w in y.items():
+            if j == j2 and (i, k) in m:
+                want[i, k] = want.get((i, k), 0.0) + v * w * m[i, k]
+    pre = evaluate(e, prefilter=True)
+    assert cells(pre) == cells(evaluate(e)) == cells(evaluate(e, rewrite=False)) == want
+    assert plan(pre).count("LeftSemi") == 1
+
+
 def test_reshape_and_layouts(spark):
     a = make(spark, {(0, 1): 2, (2, 0): 3, (2, 1): 4}, shape={"i": 3, "j": 2})
     assert cells(reshape.transpose(a)) == {(1, 0): 2.0, (0, 2): 3.0, (1, 2): 4.0}
@@ -159,6 +193,75 @@ def test_reshape_and_layouts(spark):
     assert cells(layouts.from_coo(layouts.to_coo(t), ["i", "j", "k"])) == cells(t)
 
 
+def test_offsets(spark, monkeypatch):
+    monkeypatch.setattr(layouts, "STEP", 2)
+    a = make(spark, {(1, 0): 1, (1, 3): 2, (4, 2): 3, (6, 0): 4, (6, 1): 5}, shape={"i": 8, "j": 4})
+    csr = {r.i: (r.start, r.n) for r in layouts.csr_offsets(a).collect()}
+    assert csr == {0: (0, 0), 1: (0, 2), 2: (2, 0), 3: (2, 0), 4: (2, 1), 5: (3, 0), 6: (3, 2), 7: (5, 0)}
+    assert sorted(tuple(r) for r in layouts.dcsr_offsets(a).collect()) == [(0, 1, 0, 2), (1, 4, 2, 1), (2, 6, 3, 2)]
+    assert {(r.p, r.i) for r in layouts.to_dcsr(a).collect()} == {(0, 1), (1, 4), (2, 6)}
+
+
+def test_arrow(spark):
+    a = make(spark, {(0, 1): 2, (2, 0): 3})
+    t = a.to_arrow()
+    assert t.column_names == ["i", "j", "v"] and t.to_pydict() == {"i": [0, 2], "j": [1, 0], "v": [2.0, 3.0]}
+    assert cells(SparseTensor.from_arrow(spark, t, ["i", "j"])) == cells(a) and a.to_pandas().shape == (2, 3)
+
+
+def test_dense_results_are_counted(spark):
+    from tensorframe.plans import lower
+
+    a, x = make(spark, {(i, 0): 1 for i in range(40)}), make(spark, {(k,): 1 for k in range(30)}, "k")
+    for bad in (lambda: evaluate(bc("k", a["i", "j"]), sizes={"k": 1 << 32}), lambda: evaluate(a["i", "j"] * make(spark, {(k,): 1 for k in range(3)}, "k", {"k": 1 << 32})["k"])):
+        with pytest.raises(ValueError):
+            bad()
+    most, lower.MOST_DENSE = lower.MOST_DENSE, 1000
+    try:
+        with pytest.raises(ValueError):
+            evaluate(a["i", "j"] * x["k"])
+    finally:
+        lower.MOST_DENSE = most
+
+
+def test_level_navigation():
+    f = Format.of("d_cu_cu", "i", "j", "k")
+    assert (f.next("i"), f.next("k"), f.previous("j"), f.previous("i"), f.last_sparse) == ("j", None, "i", None, "k")
+    assert Format.of("d", "i").last_sparse is None
+    with pytest.raises(ValueError):
+        f.next("x")
+    with pytest.warns(UserWarning):
+        mul_formats(Format.of("CSR", "i", "j"), Format.of("CSR", "j", "i"))
+
+
+def test_kernel_names(spark, tmp_path, capsys):
+    import json
+
+    from tensorframe.kernels import function
+
+    a, b = declare("a", "CSR", "i", "j"), declare("b", "CSR", "i", "j")
+    k = Kernel("named").expr(a + b).result_name("C").python_name("cpu", "plus").targets(["cpu"]).emit()
+    x, y = make(spark, {(0, 1): 2}), make(spark, {(0, 1): 5, (1, 1): 1})
+    assert function("plus") is k and cells(function("plus")(x, y)) == {(0, 1): 7.0, (1, 1): 1.0} and k(x, y).name == "C"
+    k.bindings(False).emit()
+    with pytest.raises(KeyError):
+        function("plus")
+    with pytest.raises(ValueError):
+        Kernel("other").expr(a + b).python_name("cpu", "cpu_csr_add_f32").emit()
+    del Kernel.registry["named"]
+    main(["--kernels", "csr_add,sssmm", "--output-dir", str(tmp_path / "out")])
+    said = json.loads((tmp_path / "out" / "sssmm.json").read_text())
+    assert said["expression"] == "sum(j, ((a(i,j) * b(j,k)) * c(i,k)))" and [o["name"] for o in said["operands"]] == ["a", "b", "c"]
+    for bad in (["--nothing"], ["a.mtx"], ["--kernels", "csr_add", "--output-dir", str(tmp_path), "one.tns"]):
+        with pytest.raises(SystemExit):
+            main(bad)
+    (tmp_path / "a.tns").write_text("1 2 3\n")
+    (tmp_path / "b.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 2 1\n1 2 4\n")
+    main(["--kernels", "csr_add", "--output-dir", str(tmp_path / "run"), str(tmp_path / "a.tns"), str(tmp_path / "b.mtx")])
+    assert "".join(p.read_text() for p in (tmp_path / "run" / "csr_add.tns").glob("part-*")).split() == ["1", "2", "7.0"]
+    capsys.readouterr()
+
+
 def test_kernels(spark, capsys):
     assert len(select()) == 15
     main(["--kernels", "csr_add,inner_prod"])

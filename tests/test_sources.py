@@ -15,8 +15,10 @@ def test_matrix_market(spark, tmp_path):
     assert cells(read_matrix_market(spark, put("s.mtx", head + "symmetric\n2 2 2\n1 1 1\n2 1 3\n"))) == {(0, 0): 1.0, (1, 0): 3.0, (0, 1): 3.0}
     assert cells(read_matrix_market(spark, put("k.mtx", head + "skew-symmetric\n2 2 1\n2 1 3\n"))) == {(1, 0): 3.0, (0, 1): -3.0}
     write_matrix_market(t, str(tmp_path / "out"))
-    part = next((tmp_path / "out").glob("part-*"))
-    assert cells(read_matrix_market(spark, str(part))) == cells(t)
+    assert cells(read_matrix_market(spark, str(tmp_path / "out"))) == cells(t)
+    for bad in ("2 2 2\n1 1 1\n", "2 2 1\n1 1 1\n2 2 1\n", "2 2 1\n3 1 1\n", "2 2 1\n1 0 1\n", "2 2 1 1\n1 1 1\n", ""):
+        with pytest.raises(Exception, match="declares|outside|extents"):
+            read_matrix_market(spark, put("bad.mtx", head + "general\n" + bad)).df.collect()
     assert not parsable(spark, put("c.mtx", "%%MatrixMarket matrix coordinate complex general\n1 1 0\n"))
     for bad in ("nothing", "%%MatrixMarket matrix array real general", head + "hermitian"):
         with pytest.raises(ValueError):
