@@ -7,12 +7,15 @@ forward-backward marginals give each token's probability, which aggregate to the
 score through a logistic curve fitted on documents that the chain has not seen. Tokens with a
 probability of a half or more are the offending spans.
 
-Fitting takes at most ``FIT_DOCS`` labelled documents of each class (the first by hash of the id,
-of at most ``FIT_BYTES`` bytes each); scoring reads every whole text.
+Fitting takes at most ``FIT_DOCS`` labelled documents of each class, of those that are there: the
+first by hash of the id, texts of more than ``FIT_BYTES`` bytes last, until ``FIT_TOTAL`` bytes
+are reached. Scoring reads every whole text.
 
 Defined cases: null or empty text has no tokens and gets the curve's value there; a null label
-counts for nothing; several labels of one document count as their largest; without labels of both
-classes every score is 0.
+counts for nothing; several labels of one document count as their largest; without labelled
+documents of both classes every score is 0; repeated rows are scored each, alike, and fitted once;
+of equal hashes the smaller id is fitted; a text of any length is scored whole; an empty table has
+no rows; other columns are ignored, or carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import carried, chunks, crc_mod, starts, words_of
 
-FIT_DOCS, FIT_BYTES, BUCKETS, ROUNDS = 1500, 32_768, 1 << 18, 30
+FIT_DOCS, FIT_BYTES, FIT_TOTAL, BUCKETS, ROUNDS = 1500, 32_768, 24 << 20, 1 << 18, 30
 RATIO, LEAST_DOCS, STEP = 6.0, 4, 128
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 EDGES = re.compile(r"^\W+|\W+$")
@@ -178,16 +181,25 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float) -> Crf:
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Crf:
     """docs: doc_id, text; labels: doc_id, toxic. Rows of remainder 0 are never read for labels."""
     own = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
-    if not counts.get(0) or not counts.get(1):
-        return Crf()
-    ids = None
+    # only documents that are there; of rows that share an id the shortest text counts
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    there = docs.select("doc_id", size.alias("size")).join(own, "doc_id").groupBy("doc_id").agg(F.min("size").alias("size"), F.max("toxic").alias("toxic"))
+    counts, chosen = {}, []
     for side in (0, 1):
-        part = own.where(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-        ids = part if ids is None else ids.unionAll(part)
-    # at most 2 * fit_docs ids and as many texts of at most FIT_BYTES
-    found = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).join(F.broadcast(ids), "doc_id")
-    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
+        part = there.where(F.col("toxic") == side)
+        counts[side] = part.count()
+        room = FIT_TOTAL
+        for r in part.orderBy(F.col("size") > FIT_BYTES, F.xxhash64("doc_id"), "doc_id").limit(fit_docs).collect():
+            if room > 0:  # at least one, and no more than FIT_TOTAL before the last
+                chosen.append((r.doc_id, side))
+                room -= r.size
+    if not counts[0] or not counts[1]:
+        return Crf()
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(chosen, there.select("doc_id", "toxic").schema)
+    # at most 2 * fit_docs ids
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(size.alias("size"), "text")).alias("r"))
+    rows = found.select("doc_id", "toxic", "r.text").toArrow()
     texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
     order = np.argsort(rows.column("doc_id").to_numpy())
     return fit([texts[i] for i in order], rows.column("toxic").to_numpy()[order], counts[1] / (counts[0] + counts[1]))
@@ -238,8 +250,8 @@ def tag(docs: DataFrame, model: Crf, carry: bool = False) -> DataFrame:
 
     out = "score double, spans array<struct<start: int, end: int>>"
     if carry:
-        whole, kind = carried(docs)
-        return whole.mapInArrow(run, f"row {kind}, {out}")
+        whole, schema = carried(docs, out)
+        return whole.mapInArrow(run, schema)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {out}")
 
 
