@@ -6,11 +6,15 @@ URLs, with Witten-Bell smoothing from order 0 to ``ORDER``. The score is the dif
 likelihoods per byte; its threshold is set on a held-out part of the labelled sample.
 
 The models are fitted on at most ``FIT_ROWS`` distinct URLs that a rule decides, the first by
-hash: they reach the driver, as do the models (at most FIT_ROWS * MAX_BYTES n-grams an order).
-
-Defined cases: null, or no ``://``: host and path are empty, no rule fits, and the model judges
-the empty text, whose score is 0. If a class has no URL, every score and the threshold are 0.
-A score at the threshold or above is allowed. Repeated rows are judged alike.
+hash, and ``FIT_TOTAL`` bytes of them: they reach the driver, and the models go to every executor,
+as at most 2 * (ORDER + 1) * FIT_TOTAL n-grams of 28 bytes (176 MB if no two are alike; a
+hundredth in practice). A whole URL is judged, with scheme, query and fragment.
+
+Defined cases: null, or no ``://``: host and path are empty and no rule fits; the model judges the
+text as it is, and a null or empty one has the score 0. A NUL byte counts as byte 1. If a class
+has no URL, every score and the threshold are 0. A score at the threshold or above is allowed.
+Repeated rows are judged alike; a URL of any length is judged whole; an empty table has no rows;
+columns besides the key and the URL are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, lower_ascii, starts
 
-ORDER, FIT_ROWS, MAX_BYTES = 5, 40_000, 512
+ORDER, FIT_ROWS, FIT_TOTAL, MAX_BYTES = 5, 40_000, 1 << 19, 512
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
@@ -44,7 +48,7 @@ class UrlModel:
         Each text is preceded by zero bytes and followed by one.
         """
         pad = b"\0" * self.order
-        flat = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8).astype(np.uint64)
+        flat = np.frombuffer(b"".join(pad + t.replace(b"\0", b"\1") + b"\0" for t in texts), np.uint8).astype(np.uint64)
         lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         doc = np.repeat(np.arange(len(texts)), lens)
         at = np.arange(len(doc)) + (doc + 1) * self.order
@@ -64,7 +68,7 @@ class UrlModel:
         contexts_k, total = np.unique(np.concatenate(contexts), return_counts=True)
         kinds = np.zeros(len(contexts_k), np.int64)
         np.add.at(kinds, np.searchsorted(contexts_k, grams_k & ~np.uint64(255)), 1)
-        return grams_k, n, contexts_k, total, kinds
+        return grams_k, n.astype(np.int32), contexts_k, total.astype(np.int32), kinds.astype(np.int32)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Log likelihood of accepted less that of rejected, per byte."""
@@ -118,16 +122,19 @@ def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     """key, host, path, rule, verdict and score of every row."""
     spark = pages.sparkSession
     host, path = parse(F.col("u"))
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("u")).select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("u")).select("page_id", "u", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by = dict(rules)
     says = F.lit(None).cast("string")
     for rule, verdict in rules:
         says = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(says)
     rows = rows.withColumn("says", says)
-    whole = F.concat("host", "path")
-    labelled = rows.where("rule IS NOT NULL").where(F.octet_length(whole) <= MAX_BYTES).select(whole.alias("t"), "says").distinct()
-    sample = labelled.orderBy(F.xxhash64("t"), "t").limit(fit_rows).collect()
+    labelled = rows.where("rule IS NOT NULL").where(F.octet_length("u") <= MAX_BYTES).select(F.col("u").alias("t"), "says").distinct()
+    sample, room = [], FIT_TOTAL
+    for r in labelled.orderBy(F.xxhash64("t"), "t").limit(fit_rows).collect():
+        room -= len(r.t.encode())
+        if room >= 0:
+            sample.append(r)
     if set(by.values()) - {"allow", "block"}:
         raise ValueError("a rule allows or blocks")
     model = fit([r.t.encode() for r in sample if r.says == "allow"], [r.t.encode() for r in sample if r.says == "block"])
@@ -138,7 +145,7 @@ def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 4096):
                 batch = whole_batch.slice(at, 4096)
-                score = m.score([h + p for h, p in zip(as_bytes(batch.column("host")), as_bytes(batch.column("path")))])
+                score = m.score(as_bytes(batch.column("u")))
                 own = np.where(score >= m.threshold, "allow", "block")
                 said = batch.column("says").to_pylist()
                 verdict = pa.array([s or o for s, o in zip(said, own.tolist())], pa.string())
