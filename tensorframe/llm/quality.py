@@ -5,7 +5,9 @@ each rule that failed. A policy is a named version with a mask of rules; applyin
 comparing many, reads the ledger only. ``ablation`` counts over distinct bit patterns, of which
 there are at most 2 to the number of rules.
 
-Defined cases: null text has no words; a null doc_id is kept; repeated rows are judged one by one.
+Defined cases: null text has no words; a null doc_id is kept; repeated rows are judged one by one;
+a value right at a rule's bound passes; a text of any length is measured whole; an empty table has
+no rows; other columns are ignored, or carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, chunks, mix, starts, windows, word_hashes, words_of
+from .common import carried, chunks, cut, mix, starts, windows, word_hashes, words_of
 
 SYMBOLS = b"#*$%&|<>"
 #: name, SQL condition on the measurements that is true when the rule fails; the place is the bit.
@@ -73,8 +75,8 @@ def ledger(docs: DataFrame, rules: list[tuple[str, str]] = RULES, carry: bool =
     With carry, the struct ``row`` with all columns of docs takes the place of doc_id.
     """
     if carry:
-        whole, kind = carried(docs)
-        got = whole.mapInArrow(_measured, f"row {kind}, {MEASURES}")
+        whole, schema = carried(docs, MEASURES)
+        got = whole.mapInArrow(_measured, schema)
     else:
         got = docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
     bits = F.lit(0).cast("long")
@@ -108,10 +110,21 @@ def ablation(book: DataFrame, policy: str, rules: list[tuple[str, str]] = RULES)
     )
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of docs, written once: policies and ablations read it and never the texts."""
+    return cut(ledger(docs), "ledger")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Verdicts of policy v1, with all that the ledger holds: measurements and the bits of failed rules."""
+    book = stored(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = mask("base")
-    return apply_policy(book, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept")
+    return apply_policy(book, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept", "n_lines", "failed")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule of the strictest policy, how many documents fail it, and how many fail no other."""
+    return ablation(stored(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "strict")
 
 
 OP5_SQL = r"""
@@ -123,9 +136,18 @@ g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i+4], ' '
 m AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM g WHERE c > 1) GROUP BY r),
 f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words
-      FROM w LEFT JOIN m ON w.r = m.r)
-SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 5 * n_symbols > n_words OR word_chars > 24 * n_words) AS kept
-FROM f
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words,
+             CAST(len(ls) AS BIGINT) AS n_lines
+      FROM w LEFT JOIN m ON w.r = m.r),
+b AS (SELECT *, CAST(n_words < 10 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS BIGINT) + 4 * CAST(5 * n_symbols > n_words AS BIGINT)
+             + 8 * CAST(word_chars > 24 * n_words AS BIGINT) + 16 * CAST(n_dup_lines > 0 AND 2 * n_dup_lines > n_lines AS BIGINT) AS failed FROM f)
+"""
+ABLATION_SQL = OP5_SQL + r"""
+SELECT rule, CAST(sum(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS fails, CAST(sum(CASE WHEN failed = bit THEN 1 ELSE 0 END) AS BIGINT) AS fails_alone
+FROM b CROSS JOIN (VALUES ('few_words', 1), ('repeats', 2), ('symbols', 4), ('long_words', 8), ('dup_lines', 16)) r(rule, bit) GROUP BY rule
+"""
+OP5_SQL += r"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       failed & 15 = 0 AS kept
+FROM b
 """

@@ -15,5 +15,6 @@ QUERIES = {
     "op8_bpe_codec": bpe.op8_bpe_codec,
     "op9_packing": packing.op9_packing,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "quality_ablation": quality.quality_ablation,
 }
-ORACLES = {"op5_quality_rules": quality.OP5_SQL, "op10_jaccard_join": jaccard.OP10_SQL}
+ORACLES = {"op5_quality_rules": quality.OP5_SQL, "quality_ablation": quality.ABLATION_SQL, "op10_jaccard_join": jaccard.OP10_SQL}
