@@ -5,7 +5,12 @@ common one makes a row per group, not per document. Rows meet by pre-token, sort
 each run of equal pre-tokens is encoded once and its number of pieces goes back to the chunks,
 where the frequencies of each document are multiplied and summed.
 
-Defined cases: null text is empty and has 0 tokens; repeated rows stay.
+Both readings of the input number pre-tokens alike, as they meet rows in the same order; an input
+that isn't a plain scan is written first, so that this holds whatever executors are lost.
+
+Defined cases: null text is empty and has 0 tokens; repeated rows stay; a text of any length is
+counted whole; an empty table has no rows; columns besides the key and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import chunks, coded, starts
+from .common import chunks, coded, settled, starts
 
 #: texts of a chunk -> distinct keys, code of each occurrence, occurrences of each text
 Split = Callable[[list[bytes]], tuple[list, np.ndarray, np.ndarray]]
@@ -121,7 +126,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     """key, n_bytes and n_tokens of every whole text."""
     split = piece_split(tokenizer)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = settled(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
 
     def frequencies(batches):
         for group, *rest in grouped(batches, split):
