@@ -18,10 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, STEP_BYTES = 2 << 20, 4 << 20
 #: the six bytes that words are cut at
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _own: list[str] = []
@@ -150,21 +151,54 @@ def _texts(rows: pa.RecordBatch | pa.Table, column: str):
     return rows.column(column) if "row" not in rows.schema.names else pc.struct_field(rows.column("row"), column)
 
 
-def carried(docs: DataFrame) -> tuple[DataFrame, str]:
-    """All columns of docs as one struct, ``row``, whatever their names, and its type."""
+def carried(docs: DataFrame, more: str = "") -> tuple[DataFrame, StructType]:
+    """All columns of docs as one struct, ``row``, whatever their names; the schema of that and of ``more`` columns."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return whole, whole.schema["row"].dataType.simpleString()
+    return whole, StructType([*whole.schema.fields, *(StructType.fromDDL(more).fields if more else ())])
 
 
 def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """As words_of, with the distinct words as an Arrow array of binary."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    """As words_of, with the distinct words as an Arrow array of binary; texts are cut some at a time, which bounds memory."""
+    size = starts(np.fromiter(map(len, texts), np.int64, len(texts)))
+    edges = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1], STEP_BYTES)), len(texts))).tolist()
+    parts, lens = [], []
+    for a, b in zip([0, *edges], [*edges, len(texts)]):
+        if a < b:
+            words, first, begin, _ = _placed(texts[a:b])
+            parts.append(words)
+            lens.append(np.diff(np.searchsorted(first, begin)))
+    code = pa.chunked_array(parts, pa.large_binary()).dictionary_encode().unify_dictionaries()
+    if not code.num_chunks:
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    return code.chunk(0).dictionary, np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in code.chunks]).astype(np.int64), np.concatenate(lens)
+
+
+def _placed(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Every word; its place in the texts, joined by line ends; where each text begins, and the end; the bytes."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     inside = ~SPACE[buf]
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     first, after = edge[::2], edge[1::2]
-    code = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(starts(after - first)), pa.py_buffer(buf[inside])]).dictionary_encode()
-    ends = starts(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return code.dictionary, code.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(np.searchsorted(first, ends))
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(starts(after - first)), pa.py_buffer(buf[inside])])
+    return words, first, starts(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), buf
+
+
+def placed_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; the code and the place of each word in the texts, joined by line ends; where texts begin; the bytes."""
+    words, first, begin, buf = _placed(texts)
+    code = words.dictionary_encode()
+    return code.dictionary, code.indices.to_numpy(zero_copy_only=False).astype(np.int64), first, begin, buf
+
+
+def offsets_of(x: pa.Array) -> np.ndarray:
+    """Where each value of an array of large binary or text begins among its bytes, and the end."""
+    return np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+
+
+def bytes_of(x: pa.Array) -> np.ndarray:
+    """The bytes of all values, one after another."""
+    at = offsets_of(x)
+    return np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
 
 
 def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -203,17 +237,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 def windows(h: np.ndarray, lens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each run of n words inside a text: hashes, position of the first word, text index.
 
-    h: a 64-bit hash of each word. Texts with fewer than n words have no run.
+    h: a 64-bit hash of each word. Texts with fewer than n words have no run. Runs of a power of two
+    are made of two halves, others of such runs.
     """
-    doc = np.repeat(np.arange(len(lens)), lens)
-    ends = starts(lens)[1:]
     if len(h) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.arange(len(h)) + n <= np.repeat(ends, lens))
-    acc = np.zeros(len(first), np.uint64)
-    for k in range(n):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[first + k])
-    return acc, first, doc[first]
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    half, size, acc, done = h, 1, None, 0
+    while True:
+        if n & size:
+            rest = half[done:]
+            acc = half if acc is None else mix(acc[: len(rest)] * factor + rest)
+            done += size
+        if done == n:
+            break
+        half = mix(half[:-size] * factor + half[size:])
+        size *= 2
+    doc = np.repeat(np.arange(len(lens)), lens)
+    first = np.flatnonzero(np.arange(len(h)) + n <= np.repeat(starts(lens)[1:], lens))
+    return acc[first], first, doc[first]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

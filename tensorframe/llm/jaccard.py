@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTES_LOWER, chunks, cut, keyed_rows, least_row, mix, starts, windows, word_hashes, words_of
-from .linkage import linked, with_requests
+from .linkage import linked, local_signatures, with_requests
 
 
 def shingle_sets(texts: list[bytes], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,9 @@ def shingle_sets(texts: list[bytes], n: int = 3) -> tuple[np.ndarray, np.ndarray
 
 def distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of each of n owners, one after another, and how many each has."""
-    order = np.lexsort((keys, owner))
+    order = np.argsort(keys)
+    own = owner[order]
+    order = order[np.argsort(own.astype(np.uint16) if n <= 1 << 16 else own, kind="stable")]  # few owners sort by digits
     keys, owner = keys[order], owner[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
@@ -113,12 +115,9 @@ def jaccard_members(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             ids = cls.tolist()
             new = np.array([bool(n) and c not in seen and not seen.add(c) for c, n in zip(ids, sizes.tolist())], bool)
             sig, owner = signatures(keys[np.repeat(new, sizes)], sizes[new], num, den)
-            order = np.argsort(owner, kind="stable")
-            n = np.zeros(len(ids), np.int64)
-            n[new] = np.bincount(owner, minlength=int(new.sum()))
-            sigs = pa.ListArray.from_arrays(pa.array(starts(n).astype(np.int32)), pa.array(sig[order]))
+            sigs, met = local_signatures(sig, np.flatnonzero(new)[owner], len(ids))
             out = table.select(["doc_id", "version"]).append_column("n_shingles", pa.array(sizes, pa.int64()))
-            yield from out.append_column("cls", pa.array(cls, mask=sizes == 0)).append_column("sigs", sigs).to_batches(max_chunksize=2_000)
+            yield from out.append_column("cls", pa.array(cls, mask=sizes == 0)).append_column("sigs", sigs).append_column("met", met).to_batches(max_chunksize=2_000)
 
     def items(batches):
         for table, texts in chunks(batches):
@@ -126,7 +125,7 @@ def jaccard_members(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             at = starts(sizes).tolist()
             yield pa.RecordBatch.from_arrays([table.column("cls").combine_chunks(), pa.array([keys[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["cls", "items"])
 
-    member = cut(rows.mapInArrow(members, f"doc_id {kind}, version long, n_shingles long, cls long, sigs array<long>"), "members")
+    member = cut(rows.mapInArrow(members, f"doc_id {kind}, version long, n_shingles long, cls long, sigs array<long>, met array<long>"), "members")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         first = member.where("cls IS NOT NULL").join(ids, "cls", "left_semi").groupBy("cls").agg(least_row().alias("r"))
@@ -134,7 +133,7 @@ def jaccard_members(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
         # rows repeated in full give a set twice
         return with_requests(rows, wanted).mapInArrow(items, "cls long, items binary").dropDuplicates(["cls"])
 
-    found = linked(member.select(F.explode("sigs").alias("sig"), "cls"), sets_of, num, den).withColumnRenamed("node", "cls")
+    found = linked(member, sets_of, num, den).withColumnRenamed("node", "cls")
     return member.join(found, "cls", "left").select("doc_id", "version", "n_shingles", F.coalesce("comp", "cls").alias("root"))
 
 

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, same_row
+from .common import cut, drop, same_row, starts
 
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -84,16 +84,38 @@ def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(old.unionAll(more.join(labels, "node", "left_anti")), "labels")
 
 
-def linked(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def local_signatures(sig: np.ndarray, owner: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Of the signatures of n different sets, what each set sends to meet others, and what has met here already.
+
+    A signature that several of the sets have is known to be shared, so two of them send it on and
+    the rest needn't: a common one makes two rows a chunk of texts, however many sets have it.
+    """
+    order = np.lexsort((owner, sig))
+    sig, owner = sig[order], owner[order]
+    new = np.append(True, (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1]))[: len(sig)]
+    sig, owner = sig[new], owner[new]
+    first, last = (np.append(True, sig[1:] != sig[:-1])[: len(sig)], np.append(sig[1:] != sig[:-1], True)[-len(sig) :] if len(sig) else np.zeros(0, bool))
+    met = ~(first & last)
+
+    def lists(take):
+        at = np.argsort(owner[take], kind="stable")
+        return pa.ListArray.from_arrays(pa.array(starts(np.bincount(owner[take], minlength=n)).astype(np.int32)), pa.array(sig[take][at]))
+
+    return lists(first | last), lists(met)
+
+
+def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """node, comp of every set that links to another.
 
-    sigs: sig, cls, one row for each signature of a set, or several; sets_of: cls -> cls, items for some.
+    member: cls, sigs, met, the signatures of a set as ``local_signatures`` gives them, in one row or
+    several; sets_of: cls -> cls, items for some.
 
     What is aggregated by a key is cut before rows join it, so that the join may split hot keys.
     """
     made: list[DataFrame] = []
-    met = cut(sigs.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("top")).where("low <> top").select("sig"), "met", made)
-    buckets = cut(sigs.join(met, "sig", "left_semi").distinct(), "buckets", made)
+    own = Window.partitionBy("sig")  # at most two rows a chunk of texts
+    sent = member.select(F.explode("sigs").alias("sig"), "cls").withColumn("low", F.min("cls").over(own)).withColumn("top", F.max("cls").over(own)).where("low <> top")
+    buckets = cut(sent.select("sig", "cls").unionAll(member.select(F.explode("met").alias("sig"), "cls")).distinct(), "buckets", made)
     sizes = cut(buckets.groupBy("sig").agg(F.count("*").alias("m")), "sizes", made)
     # the more others a set meets in all its buckets, the more central it is
     degrees = cut(buckets.join(sizes, "sig").groupBy("cls").agg(F.sum("m").alias("degree")), "degrees", made)
