@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe
-from .common import chunks, cut, cut_bytes, cut_words, mix, ranges, starts, word_hashes
+from .common import bytes_of, chunks, cut, cut_bytes, cut_words, mix, offsets_of, ranges, starts, word_hashes
 
 LENGTH, DIMS, BITS, END = 4096, 3, 16, 2
 CHUNK_BYTES, TASK_BYTES = 4 << 20, 64 << 20
@@ -125,9 +125,9 @@ class Words:
         """
         base = pc.utf8_rtrim(words, characters=MARKS)
         base = pc.if_else(pc.utf8_is_alnum(pc.utf8_slice_codeunits(base, -1)), base, words)
-        size, cut = (np.diff(_offsets(x)) for x in (words, base))
+        size, cut = (np.diff(offsets_of(x)) for x in (words, base))
         held = np.arange(size.sum()) - np.repeat(starts(size)[:-1], size) >= np.repeat(cut, size)
-        tail = _text(size - cut, _bytes(words)[held]).filter(pa.array(size > cut))
+        tail = _text(size - cut, bytes_of(words)[held]).filter(pa.array(size > cut))
         code = pa.concat_arrays([base, tail]).dictionary_encode()
         at = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.append(np.arange(len(words)), np.flatnonzero(size > cut))
@@ -143,8 +143,8 @@ class Words:
         count[~single] = np.fromiter(map(len, own), np.int64, len(own))
         letters = parts.filter(pa.array(single))
         rest = list(chain.from_iterable(own))
-        data = np.append(_bytes(letters), np.frombuffer(b"".join(rest), np.uint8))
-        ids, n = self.bpe.encode_raw(data, np.append(np.diff(_offsets(letters)), np.fromiter(map(len, rest), np.int64, len(rest))))
+        data = np.append(bytes_of(letters), np.frombuffer(b"".join(rest), np.uint8))
+        ids, n = self.bpe.encode_raw(data, np.append(np.diff(offsets_of(letters)), np.fromiter(map(len, rest), np.int64, len(rest))))
         # those of single pieces come first: back to the order of the parts
         first = np.empty(len(parts), np.int64)
         first[single] = np.arange(len(letters))
@@ -161,23 +161,14 @@ MARKS = '.,;:!?*&%$#@=+~^_()[]{}"-/'
 LATER = 0xCC
 
 
-def _offsets(x: pa.Array) -> np.ndarray:
-    return np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
-
-
-def _bytes(x: pa.Array) -> np.ndarray:
-    at = _offsets(x)
-    return np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
-
-
 def _text(size: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(starts(size)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _holds(x: pa.Array, byte: int) -> np.ndarray:
     """Whether each text has a byte of at least this value."""
-    at = _offsets(x) - _offsets(x)[0]
-    return np.diff(starts((_bytes(x) >= byte).astype(np.int64))[at]) > 0
+    at = offsets_of(x) - offsets_of(x)[0]
+    return np.diff(starts((bytes_of(x) >= byte).astype(np.int64))[at]) > 0
 
 
 @lru_cache(maxsize=2)
