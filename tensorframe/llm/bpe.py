@@ -4,7 +4,10 @@ The symbols of many pieces lie in one flat array. Each round takes the lowest ra
 and merges all its places at once; the pairs that a merge makes are looked up by binary search
 over sorted pair keys. Pieces with nothing left to merge leave the array.
 
-Defined cases: null text is empty and has no ids; the sha256 of no ids is that of empty text.
+Defined cases: null text is empty and has no ids; the sha256 of no ids is that of empty text;
+repeated rows are encoded each; of pairs that tie the left one merges first; a text of any length
+is encoded whole; an empty table has no rows; columns besides the key and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
