@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, chunks, cut, mix, starts, windows, word_hashes, words_of
+from .common import carried, chunks, cut, mix, windows, word_hashes, words_of
 
 SYMBOLS = b"#*$%&|<>"
 #: name, SQL condition on the measurements that is true when the rule fails; the place is the bit.

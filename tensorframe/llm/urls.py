@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lower_ascii, starts
+from .common import as_bytes, lower_ascii
 
 ORDER, FIT_ROWS, FIT_TOTAL, MAX_BYTES = 5, 40_000, 1 << 19, 512
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
