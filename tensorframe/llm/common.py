@@ -132,12 +132,19 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             size += int(lens[i]) + 64
             if size >= limit:
                 held.append(batch.slice(start, i + 1 - start))
-                yield _whole(held, column)
-                held, size, start = [], 0, i + 1
+                size, start = 0, i + 1
+                yield _whole(_taken(held), column)
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:
-        yield _whole(held, column)
+        yield _whole(_taken(held), column)
+
+
+def _taken(held: list) -> list:
+    """What held has; nothing holds on to it while it is worked on."""
+    out = held[:]
+    held.clear()
+    return out
 
 
 def _whole(held: list[pa.RecordBatch], column: str) -> tuple[pa.Table, list[bytes]]:
@@ -157,14 +164,17 @@ def carried(docs: DataFrame, more: str = "") -> tuple[DataFrame, StructType]:
     return whole, StructType([*whole.schema.fields, *(StructType.fromDDL(more).fields if more else ())])
 
 
-def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """As words_of, with the distinct words as an Arrow array of binary; texts are cut some at a time, which bounds memory."""
+def cut_words(texts: list[bytes], lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As words_of, with the distinct words as an Arrow array of binary; texts are cut some at a time, which bounds memory.
+
+    With lower, A-Z are lower-cased first.
+    """
     size = starts(np.fromiter(map(len, texts), np.int64, len(texts)))
     edges = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1], STEP_BYTES)), len(texts))).tolist()
     parts, lens = [], []
     for a, b in zip([0, *edges], [*edges, len(texts)]):
         if a < b:
-            words, first, begin, _ = _placed(texts[a:b])
+            words, first, begin, _ = _placed([t.translate(BYTES_LOWER) for t in texts[a:b]] if lower else texts[a:b])
             parts.append(words)
             lens.append(np.diff(np.searchsorted(first, begin)))
     code = pa.chunked_array(parts, pa.large_binary()).dictionary_encode().unify_dictionaries()

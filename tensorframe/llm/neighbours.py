@@ -12,7 +12,8 @@ Rows lie in blocks, by hash, and each block's index is built once: queries strea
 block keeps k rows a query, so a task holds one block and one batch of queries. There are
 ``BLOCKS`` blocks unless they would hold fewer than ``LEAST`` or more than ``MOST`` rows, so up to
 BLOCKS * MOST rows what is shuffled grows as the table does; beyond that, queries meet more
-blocks. A block that gives fewer than k widens the radius until it does.
+blocks. A block that gives fewer than k widens the radius until it does. Of equal vectors a block
+keeps the k + 1 smallest ids, as no other can be among the k nearest, so groups of copies cost little.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do those whose length isn't the most common one (ties: the longer). Every other row is a
@@ -92,8 +93,17 @@ def learn(x: np.ndarray, k: int, rows: int, bits: int = BITS, recall: float = RE
 class Index:
     """Buckets of each substring over one block of rows."""
 
-    def __init__(self, keys: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes):
-        """keys: of rows, not null; ids: what is returned, as numbers with a mask."""
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes, k: int | None = None):
+        """keys: of rows, each its own; ids: what is returned.
+
+        With k, of equal vectors the k + 1 smallest ids stand for all: no other can be among the k nearest of any query.
+        """
+        if k is not None and len(x):
+            at = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)[1].ravel()
+            order = np.lexsort((keys, ids, at))
+            n = np.bincount(at)
+            keep = np.sort(order[np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) <= k])
+            keys, ids, x = keys[keep], ids[keep], x[keep]
         self.keys, self.ids, self.x, self.codes = keys, ids, x, codes
         self.code = codes.of(x)
         self.slack = 1e-14 * x.shape[1] * float(np.linalg.norm(x, axis=1).max(initial=0))
@@ -195,7 +205,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 if box is None:
                     if not held:
                         continue  # a block without rows
-                    box, held = Index(*matrix(held), codes.value), []
+                    box, held = Index(*matrix(held), codes.value, k), []
                 for i in range(0, part.num_rows, BATCH):
                     own, ids, x = matrix([part.slice(i, BATCH)])
                     who, row, score = box.search(x, own, k)

@@ -141,15 +141,31 @@ def test_rows_without_an_id_bridge_others(spark):
     assert got == want == sql
 
 
-def test_signatures():
-    rng = np.random.default_rng(2)
-    for n in (8, 17, 60, 400, 1000):
-        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        d = int(0.1 * len(x) / 1.9)
-        y = np.unique(np.append(x[: len(x) - d], rng.integers(0, 2**63, d).astype(np.uint64)))
-        if 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y)) and d:
-            sig, owner = jaccard.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), 90, 100)
-            assert set(sig[owner == 0]) & set(sig[owner == 1])
+@pytest.mark.parametrize("num", [90, 80])
+def test_signatures(num):
+    """Alike sets share a signature, at the largest difference that the similarity allows and below, down to the smallest sets."""
+    rng = np.random.default_rng(num)
+    pairs = 0
+    for n in [*range(4, 40), *range(40, 200, 7), 400, 1000]:
+        for _ in range(12):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            most = int(len(x) * (100 - num) / num)  # elements added, or taken and added
+            lost, new = rng.integers(0, most + 1), rng.integers(0, most + 1)
+            y = np.unique(np.append(rng.choice(x, len(x) - lost, replace=False), rng.integers(0, 2**63, new).astype(np.uint64)))
+            if len(y) and 100 * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)) and (lost or new):
+                sig, owner = jaccard.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), num, 100)
+                assert set(sig[owner == 0]) & set(sig[owner == 1]), (n, lost, new)
+                pairs += 1
+    assert pairs > 150
+
+
+def test_few_meet_by_chance():
+    """Unlike sets hardly ever share a signature."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(150, 160, 400)
+    sig, owner = jaccard.signatures(rng.integers(0, 2**63, sizes.sum()).astype(np.uint64), sizes, 80, 100)
+    _, n = np.unique(sig, return_counts=True)
+    assert (n > 1).sum() <= 6 and len(np.unique(owner)) == 400  # of some 36,000
 
 
 def test_components(spark):
@@ -469,6 +485,11 @@ def test_equal_vectors_tie_wherever_they_lie():
         box = neighbours.Index(np.arange(len(x)), ids, x, codes)
         _, row, score = box.search(x[copies[:1]] * 1.5, np.array([-1]), 20)
         assert ids[row].tolist() == sorted(ids[copies].tolist())[:20] and len(set(score.tolist())) == 1
+        few = neighbours.Index(np.arange(len(x)), ids, x, codes, 20)
+        assert len(few.keys) == len(x) - len(copies) + 21
+        for own in (-1, copies[np.argmin(ids[copies])], copies[np.argmax(ids[copies])]):
+            _, row, score = few.search(x[copies[:1]], np.array([own]), 20)
+            assert few.ids[row].tolist() == sorted(i for c, i in zip(copies.tolist(), ids[copies].tolist()) if c != own)[:20]
 
 
 def test_probing_returns_every_code_within_the_radius():
