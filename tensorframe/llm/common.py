@@ -8,6 +8,7 @@ chunks of a few MB of text, as two of them run beside a small heap; a single lon
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +75,12 @@ def drop(*tables: DataFrame) -> None:
             files.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of queries that are done: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df itself if reading it twice gives the same rows in the same order, as a scan of files does; else a cut of it."""
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES_LOWER, chunks, cut, keyed_rows, least_row, mix, starts, windows, word_hashes, words_of
+from .common import BYTES_LOWER, chunks, cut, keyed_rows, least_row, mix, release, starts, windows, word_hashes, words_of
 from .linkage import linked, local_signatures, with_requests
 
 
@@ -130,13 +130,13 @@ def jaccard_members(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             at = starts(sizes).tolist()
             yield pa.RecordBatch.from_arrays([table.column("cls").combine_chunks(), pa.array([keys[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["cls", "items"])
 
+    release(docs.sparkSession)
     member = cut(rows.mapInArrow(members, f"doc_id {kind}, version long, n_shingles long, cls long, sigs array<long>, met array<long>"), "members")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         first = member.where("cls IS NOT NULL").join(ids, "cls", "left_semi").groupBy("cls").agg(least_row().alias("r"))
         wanted = cut(first.select("cls", F.col("r.id").alias("id"), F.col("r.version").alias("of")), "wanted")
-        # rows repeated in full give a set twice
-        return with_requests(rows, wanted).mapInArrow(items, "cls long, items binary").dropDuplicates(["cls"])
+        return with_requests(rows, wanted).mapInArrow(items, "cls long, items binary")
 
     found = linked(member, sets_of, num, den).withColumnRenamed("node", "cls")
     return member.join(found, "cls", "left").select("doc_id", "version", "n_shingles", F.coalesce("comp", "cls").alias("root"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, same_row, starts
+from .common import cut, drop, release, same_row, starts
 
 BROADCAST_BYTES = 32 << 20
 
@@ -116,29 +116,41 @@ def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
     own = Window.partitionBy("sig")  # at most two rows a chunk of texts
     sent = member.select(F.explode("sigs").alias("sig"), "cls").withColumn("low", F.min("cls").over(own)).withColumn("top", F.max("cls").over(own)).where("low <> top")
     buckets = cut(sent.select("sig", "cls").unionAll(member.select(F.explode("met").alias("sig"), "cls")).distinct(), "buckets", made)
+    release(buckets.sparkSession)
     sizes = cut(buckets.groupBy("sig").agg(F.count("*").alias("m")), "sizes", made)
     # the more others a set meets in all its buckets, the more central it is
     degrees = cut(buckets.join(sizes, "sig").groupBy("cls").agg(F.sum("m").alias("degree")), "degrees", made)
-    sets = cut(sets_of(degrees.select("cls")), "sets", made)
+    sets = unique_sets(sets_of(degrees.select("cls")), made)
+    release(buckets.sparkSession)
     ranked = buckets.join(degrees, "cls")
     hubs = cut(ranked.groupBy("sig").agg(F.max(F.struct("degree", "cls")).alias("hub")), "hubs", made)
     stars = ranked.join(hubs, "sig").where("cls <> hub.cls").groupBy("cls").agg(F.max("hub").alias("hub"))
     best = cut(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")), "pairs", made)
     labels = components(cut(verified(best, sets, num, den), "links", made))
     left = _mixed(buckets, labels, made).join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
-    left = cut(left.join(sets, "cls"), "mixed", made)
-    pairs = prefix_pairs(left, num, den, made).unionAll(change_pairs(left, sets, num, den, made)).distinct()
+    left = cut(left.join(sets.select("cls", "n"), "cls"), "mixed", made)
+    release(buckets.sparkSession)
+    pairs = prefix_pairs(left, sets, num, den, made).unionAll(change_pairs(left, sets, num, den, made)).distinct()
     known = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets, num, den), "links", made)
     out = joined(labels, more)
     drop(*made)
+    release(buckets.sparkSession)
     return out
 
 
+def unique_sets(found: DataFrame, made: list) -> DataFrame:
+    """cls, items, n (elements) of each set once; rows that repeat in full bring a set more often."""
+    sets = cut(found.withColumn("n", F.expr("int(length(items) div 8)")), "sets", made)
+    if sets.count() > sets.select("cls").distinct().count():
+        sets = cut(sets.dropDuplicates(["cls"]), "sets", made)
+    return sets
+
+
 def exploded(sets: DataFrame, made: list) -> DataFrame:
-    """A row for each element of each of sets (cls, comp, hub, items, n): its place from the rarest on.
+    """cls, el, place, d: elements of sets (cls, within, items) that another set within the same has too.
 
-    n is the size of the set behind it; df tells how many rows of the same hub have the element.
+    place is the element's rank in its set from the rarest on, d the number of all elements of the set.
     """
 
     def opened(batches):
@@ -146,28 +158,30 @@ def exploded(sets: DataFrame, made: list) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [np.frombuffer(x, np.int64) for x in part.column("items").to_pylist()]
-                size = np.array([len(x) for x in sets])
-                own = np.repeat(np.arange(len(sets)), size)
-                names = ["cls", "comp", "hub", "within", "n"]
-                columns = [part.column(c).to_numpy()[own] for c in names]
-                yield from pa.table([*columns, np.concatenate(sets), size[own].astype(np.int32)], names=[*names, "el", "d"]).to_batches(max_chunksize=20_000)
+                own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                columns = [part.column(c).to_numpy()[own] for c in ("cls", "within")]
+                yield from pa.table([*columns, np.concatenate(sets)], names=["cls", "within", "el"]).to_batches(max_chunksize=20_000)
 
-    rows = sets.mapInArrow(opened, "cls long, comp long, hub long, within long, n int, el long, d int")
+    rows = sets.mapInArrow(opened, "cls long, within long, el long")
     common = cut(rows.groupBy("within", "el").agg(F.count("*").alias("df")).where("df > 1"), "common", made)
-    rows = rows.join(common, ["within", "el"], "left")
-    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(1)), "el"))
-    return rows.withColumn("place", place).where("df > 1")
+    release(sets.sparkSession)
+    counted = rows.join(common, ["within", "el"], "left").select("cls", "el", "df")
+    own = Window.partitionBy("cls")
+    place = F.row_number().over(own.orderBy(F.coalesce("df", F.lit(1)), "el"))
+    return counted.withColumn("place", place).withColumn("d", F.count("*").over(own).cast("int")).where("df > 1").drop("df")
 
 
-def prefix_pairs(left: DataFrame, num: int, den: int, made: list) -> DataFrame:
+def prefix_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, made: list) -> DataFrame:
     """a, b: pairs of different components and hubs that share one of their rarest elements.
 
-    Sets of n elements whose similarity is at least num / den share one of the
-    n - ceil(num * n / den) + 1 rarest of each, in any one order of the elements; of two known
+    left: cls, comp, hub, n. Sets of n elements whose similarity is at least num / den share one of
+    the n - ceil(num * n / den) + 1 rarest of each, in any one order of the elements; of two known
     sizes that must share t elements, one of the n - t + 1 rarest of each.
     """
-    rows = exploded(left.select("cls", "comp", "hub", F.lit(0).cast("long").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items"), made)
+    own = sets.join(few(left.select("cls")), "cls", "left_semi").select("cls", F.lit(0).cast("long").alias("within"), "items")
+    rows = exploded(own, made).join(few(left), "cls")
     kept = cut(rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub", "n", "place"), "prefixes", made)
+    release(sets.sparkSession)
     x, y = (kept.select("el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("hub", "h"), ("n", "n"), ("place", "p"))]) for c in "ab")
     share = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"  # what alike sets of these sizes share at least
     return x.join(y, "el").where(f"a > b AND ca <> cb AND ha <> hb AND pa <= na - {share} + 1 AND pb <= nb - {share} + 1").select("a", "b")
@@ -187,13 +201,14 @@ def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, made: lis
     def changes(batches):
         for batch in batches:
             got = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True).tobytes() for x, y in zip(batch.column("items").to_pylist(), batch.column("base").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "comp", "hub", "within", "n")), pa.array(got, pa.binary())], ["cls", "comp", "hub", "within", "n", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("hub"), pa.array(got, pa.binary())], ["cls", "within", "items"])
 
     base = sets.select(F.col("cls").alias("hub"), F.col("items").alias("base"))
-    own = left.join(base, "hub").select("cls", "comp", "hub", F.col("hub").alias("within"), F.expr("int(length(items) div 8)").alias("n"), "items", "base")
-    rows = exploded(own.mapInArrow(changes, "cls long, comp long, hub long, within long, n int, items binary"), made)
+    own = sets.select("cls", "items").join(few(left.select("cls", "hub")), "cls").join(base, "hub").select("cls", "hub", "items", "base")
+    rows = exploded(own.mapInArrow(changes, "cls long, within long, items binary"), made).join(few(left), "cls").withColumnRenamed("hub", "within")
     most = f"(n * {den - num} div {num})"
     kept = cut(rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", "n", "place", F.expr(f"place <= {most} div 2 + 1").alias("small")), "changes", made)
+    release(sets.sparkSession)
     x, y = (t.select("within", "el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("d", "d"), ("n", "n"), ("place", "p"))]) for c, t in (("a", kept.where("small")), ("b", kept)))
     share = f"greatest(1, (da + db - (na + nb) * {den - num} div {num + den} + 1) div 2)"
     met = f"a <> b AND da <= db AND ca <> cb AND pa <= da - {share} + 1 AND pb <= db - {share} + 1"

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES_LOWER, carried, chunks, cut, drop, keyed_rows, least_row, mix, placed_words, starts, windows, word_hashes, words_of
+from .common import BYTES_LOWER, carried, chunks, cut, drop, keyed_rows, least_row, mix, placed_words, release, starts, windows, word_hashes, words_of
 from .jaccard import classes, distinct
 from .linkage import components, few, linked, local_signatures, with_requests
 
@@ -237,7 +237,8 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
             keys, sizes = line_sets(h, lens)
             ids, at = classes(keys, sizes), starts(sizes)
             want = [set(w) for w in table.column("cls").to_pylist()]
-            hit = [i for i in np.flatnonzero(sizes).tolist() if ids[i] in want[owner[i]]]
+            # a text's equal paragraphs are one set
+            hit = list({(owner[i], ids[i]): i for i in np.flatnonzero(sizes).tolist() if ids[i] in want[owner[i]]}.values())
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([keys[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary())], ["cls", "items"])
 
     def extended(batches):
@@ -255,10 +256,11 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
     def sets_of(ids: DataFrame) -> DataFrame:
         each = member.join(ids, "cls", "left_semi").groupBy("cls").agg(least_row().alias("r"))
         wanted = cut(each.groupBy(F.col("r.id").alias("id"), F.col("r.version").alias("of")).agg(F.collect_set("cls").alias("cls")), "wanted", made)
-        return with_requests(reps, wanted).mapInArrow(items, "cls long, items binary").dropDuplicates(["cls"])
+        return with_requests(reps, wanted).mapInArrow(items, "cls long, items binary")
 
     found = linked(scan.select("cls", "sigs", "met"), sets_of, 4, 5).withColumnRenamed("node", "cls")
     rooted = cut(member.join(found, "cls", "left").withColumn("root", F.coalesce("comp", "cls")).drop("cls", "comp"), "rooted", made)
+    release(docs.sparkSession)
     lines = cut(rooted.join(keepers(rooted, "root", made), "root").where("doc_id <> keeper").select("doc_id", "version", "first", "n", "keeper"), "lines", made)
     # a document has as many runs as paragraphs, at most: these groups are bounded by a text
     gone = cut(lines.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "n")).alias("gone")), "gone", made)
@@ -267,6 +269,7 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
     seeds = each.where(free)
     common = keepers(seeds, "hash", made).select("hash")
     near = cut(seeds.join(common, "hash", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("first").alias("seeds"), F.any_value("gone").alias("gone")), "near", made)
+    release(docs.sparkSession)
     found_in = reps.join(few(near, "size(seeds) div 2 + coalesce(size(gone), 0)"), ["doc_id", "version"]).mapInArrow(extended, f"doc_id {kind}, version long, first int, hash long")
     windows_near = cut(found_in, "extended", made)
     runs = windows_near.join(keepers(windows_near, "hash", made), "hash").where("doc_id <> keeper").select("doc_id", "version", "first", F.lit(LEAST_RUN).alias("n"), "keeper")
