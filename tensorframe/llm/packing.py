@@ -15,7 +15,6 @@ empty table gives no pieces; columns besides the key and the text are ignored, w
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
@@ -171,16 +170,11 @@ def _holds(x: pa.Array, byte: int) -> np.ndarray:
     return np.diff(starts((bytes_of(x) >= byte).astype(np.int64))[at]) > 0
 
 
-@lru_cache(maxsize=2)
-def _words(name: str) -> Words:
-    return Words(name)
-
-
 def keyed(tokenizer: str, end: int, chunk: int = CHUNK_BYTES):
     """For mapInArrow: doc_id, the curve key, and ids as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _words(tokenizer)
+        tok = Words(tokenizer)  # the task's own, so that a worker that goes on to other stages doesn't keep it
         wide = np.dtype(tok.kind).itemsize
         for table, texts in chunks(batches, limit=chunk):
             words, codes, lens = cut_words(texts)
@@ -260,7 +254,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     if length & (length - 1):
         raise ValueError("length is a power of two")
     kind = docs.schema[key].dataType.simpleString()
-    wide = _words(tokenizer).kind is np.uint32
+    wide = Words(tokenizer).kind is np.uint32
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     ids = cut(rows.mapInArrow(keyed(tokenizer, end, chunk), f"doc_id {kind}, key long, ids binary"), "packing")
     by = ["key", F.xxhash64("doc_id"), "doc_id"]

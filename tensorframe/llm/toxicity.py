@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import carried, chunks, crc_mod, starts, words_of
 
 FIT_DOCS, FIT_BYTES, FIT_TOTAL, BUCKETS, ROUNDS = 1500, 32_768, 24 << 20, 1 << 18, 30
-RATIO, LEAST_DOCS, STEP = 6.0, 4, 128
+RATIO, LEAST_DOCS, STEP, CACHE_WORDS = 6.0, 4, 128, 150_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 EDGES = re.compile(r"^\W+|\W+$")
 
@@ -235,7 +235,7 @@ def tag(docs: DataFrame, model: Crf, carry: bool = False) -> DataFrame:
         known: dict[bytes, float] = {}
         for table, texts in chunks(batches, limit=2 << 20):
             words, codes, lens = words_of(texts)
-            if len(known) > 300_000:
+            if len(known) > CACHE_WORDS:
                 known.clear()
             new = [w for w in words if w not in known]
             known.update(zip(new, m.logits(features(new)).tolist()))
