@@ -5,10 +5,10 @@ on shared indices; contractions aggregate over what is left, with partial aggreg
 shuffle. Rewrites keep values and the set of stored coordinates:
 
 * an index that occurs in one factor only is summed there before the join;
-* a factor whose indices all stay in the result is a mask: it joins second, so that nothing outside
-  of it is ever multiplied out, and the factors after it join on more indices;
-* with ``prefilter``, factors that meet in several indices are first restricted to what they share
-  in the outermost one, by semi-joins: by the mask that has it, or each by the other;
+* factors are joined to those that they share most indices with, otherwise as written: a mask after
+  the product that it covers, which it then filters row by row before the aggregate;
+* with ``prefilter``, what factors share in an outer index restricts them before they meet, by
+  semi-joins: a mask (a factor whose indices all stay) the others, or masks alone each other;
 * a broadcast under a product is dropped where another factor has the index.
 """
 
@@ -87,20 +87,23 @@ class Lowering:
             while self.rewrite and isinstance(p, Bc) and p.index in have:
                 p = p.body
             slim.append(p)
-        parts = in_order(slim, kept) if self.rewrite else slim
+        parts = in_order(slim) if self.rewrite else slim
         frames = [self.rows(p) for p in parts]
+        masks = [k for k, p in enumerate(parts) if is_mask(p, kept)]
+        if self.prefilter and len(masks) < len(parts):
+            for k, p in enumerate(parts):
+                for m in masks if k not in masks else []:
+                    if outer := next((i for i in p.indices if i in parts[m].indices), None):
+                        frames[k] = frames[k].join(frames[m].select(outer).distinct(), outer, "left_semi")
         out, seen = None, set()
-        for at, (p, df) in enumerate(zip(parts, frames)):
+        for p, df in zip(parts, frames):
             self.fresh += 1
             own = f"_v{self.fresh}"
             shared = [i for i in p.indices if i in seen]
-            if self.prefilter and len(shared) > 1:
-                masks = [k for k in range(at) if is_mask(parts[k], kept)] if len(parts) > 2 else []
-                outer, by = next(((i, k) for k in masks for i in shared if i in parts[k].indices), (shared[0], None))
-                before = frames[by] if by is not None else out
-                if by is None:
-                    out = out.join(df.select(outer).distinct(), outer, "left_semi")
-                df = df.join(before.select(outer).distinct(), outer, "left_semi")
+            if self.prefilter and len(shared) > 1 and len(masks) == len(parts):
+                rows = out.select(shared[0]).distinct()
+                out = out.join(df.select(shared[0]).distinct(), shared[0], "left_semi")
+                df = df.join(rows, shared[0], "left_semi")
             df = df.withColumnRenamed(VALUE, own)
             if out is None:
                 out = df.withColumnRenamed(own, VALUE)
@@ -166,13 +169,11 @@ def is_mask(p: Expr, kept: tuple[str, ...]) -> bool:
     return len(p.indices) > 1 and set(p.indices) <= set(kept)
 
 
-def in_order(parts: list[Expr], kept: tuple[str, ...]) -> list[Expr]:
-    """The first, then always what shares most indices with those before; of these masks first, then as written."""
-    if len(parts) < 3:
-        return parts
+def in_order(parts: list[Expr]) -> list[Expr]:
+    """The first, then always what shares most indices with those before, else as written."""
     left, out, seen = list(parts[1:]), parts[:1], set(parts[0].indices)
     while left:
-        best = min(left, key=lambda p: (-len(seen & set(p.indices)), not is_mask(p, kept)))
+        best = max(left, key=lambda p: len(seen & set(p.indices)))
         left.remove(best)
         out.append(best)
         seen |= set(best.indices)
