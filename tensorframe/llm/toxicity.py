@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, chunks, crc_mod, starts, words_of
+from .common import as_bytes, carried, chunks, crc_mod, cut_words, ranges, starts, trim, words_of
 
 FIT_DOCS, FIT_BYTES, FIT_TOTAL, BUCKETS, ROUNDS = 1500, 32_768, 24 << 20, 1 << 18, 30
 RATIO, LEAST_DOCS, STEP, CACHE_WORDS = 6.0, 4, 128, 150_000
+ROWS, TOKENS = 1 << 15, 1 << 17
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 EDGES = re.compile(r"^\W+|\W+$")
 
@@ -84,7 +85,10 @@ class Crf:
     scale: np.ndarray | None = None
 
     def logits(self, feats: np.ndarray) -> np.ndarray:
-        return self.weights[feats].sum(1) * 1.0
+        out = np.empty(len(feats))
+        for i in range(0, len(feats), ROWS):  # in blocks, which bounds memory
+            out[i : i + ROWS] = self.weights[feats[i : i + ROWS]].sum(1)
+        return out
 
     def marginals(self, u: np.ndarray, lens: np.ndarray):
         """Probability of tag 1 of each token; forward and backward ratios of tag 1 to tag 0."""
@@ -114,8 +118,20 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(z @ self.curve[1:] + self.curve[0], -500, 500)))
 
 
+def runs(lens: np.ndarray, most: int) -> Iterator[slice]:
+    """Texts in runs of at most ``most`` tokens; a longer one alone."""
+    at, first = starts(lens), 0
+    while first < len(lens):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        yield slice(first, last)
+        first = last
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, prior: float) -> Crf:
-    """toxic: 0 or 1 of each text; prior: share of toxic documents among all that are labelled."""
+    """toxic: 0 or 1 of each text; prior: share of toxic documents among all that are labelled.
+
+    It runs in the driver, so what it holds for each token of the sample is a number; all else goes some texts at a time.
+    """
     model = Crf()
     seen: dict[bytes, int] = {}
     keep = [i for i, t in enumerate(texts) if seen.setdefault(t, i) == i]
@@ -123,47 +139,61 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float) -> Crf:
     if not 0 < toxic.sum() < len(toxic):
         return model
     held = np.array([crc32(b"split" + t) % 4 == 0 for t in texts])
-    words, codes, lens = words_of(texts)
-    feats = features(words)
-    doc = np.repeat(np.arange(len(texts)), lens)
-    use = ~held[doc]
+    words, codes, lens = cut_words(texts)
+    codes = codes.astype(np.int32)
+    feats = np.concatenate([np.zeros((0, 9), np.int32), *(features(words[i : i + ROWS].to_pylist()) for i in range(0, len(words), ROWS))])
+    at = starts(lens)
     # rates of the features among the tokens of either class, at most three in a document
-    lexicon = np.zeros(BUCKETS, bool)
-    docs_of, rate = [], []
-    for side in (1, 0):
-        m = use & (toxic[doc] == side)
-        key, n = np.unique((doc[m, None] * np.int64(BUCKETS) + feats[codes[m]]).ravel(), return_counts=True)
-        docs_of.append(np.bincount(key % BUCKETS, minlength=BUCKETS))
-        rate.append((np.bincount(key % BUCKETS, weights=np.minimum(n, 3), minlength=BUCKETS) + 0.5) / (m.sum() + 1))
-    lexicon = (docs_of[0] >= LEAST_DOCS) & (rate[0] > RATIO * rate[1]) & (docs_of[0] > 3 * docs_of[1])
+    docs_of, rate, tokens = np.zeros((2, BUCKETS), np.int64), np.zeros((2, BUCKETS)), [0, 0]
+    for side in (0, 1):
+        some = np.flatnonzero(~held & (toxic == side))
+        for part in runs(lens[some], ROWS):
+            mine = some[part]
+            doc = np.repeat(np.arange(len(mine)), lens[mine])
+            key, n = np.unique((doc[:, None] * np.int64(BUCKETS) + feats[codes[ranges(at[mine], lens[mine])]]).ravel(), return_counts=True)
+            docs_of[side] += np.bincount(key % BUCKETS, minlength=BUCKETS)
+            rate[side] += np.bincount(key % BUCKETS, weights=np.minimum(n, 3), minlength=BUCKETS)
+            tokens[side] += len(doc)
+        rate[side] = (rate[side] + 0.5) / (tokens[side] + 1)
+    lexicon = (docs_of[1] >= LEAST_DOCS) & (rate[1] > RATIO * rate[0]) & (docs_of[1] > 3 * docs_of[0])
     lexicon[0] = False
-    y = (lexicon[feats].any(1)[codes] & (toxic[doc] == 1)).astype(float)
-    codes_t, lens_t, y_t = codes[use], lens[~held], y[use]
-    pairs = np.zeros(3)
-    inner = np.ones(len(codes_t), bool)
-    inner[starts(lens_t)[:-1][lens_t > 0]] = False
-    i = np.flatnonzero(inner)
-    for k, (s, t) in enumerate(((0, 1), (1, 0), (1, 1))):
-        pairs[k] = ((y_t[i - 1] == s) & (y_t[i] == t)).sum()
-    total = max(y_t.sum(), 1.0)
+    marks = np.concatenate([np.zeros(0, bool), *(lexicon[feats[i : i + ROWS]].any(1) for i in range(0, len(feats), ROWS))])
+
+    def fitting():
+        """Codes, tags, tokens of each text and places after the first of a text, of some texts at a time."""
+        some = np.flatnonzero(~held)
+        for part in runs(lens[some], TOKENS):
+            mine = some[part]
+            c, inner = codes[ranges(at[mine], lens[mine])], np.ones(int(lens[mine].sum()), bool)
+            inner[starts(lens[mine])[:-1][lens[mine] > 0]] = False
+            yield c, (marks[c] & np.repeat(toxic[mine] == 1, lens[mine])).astype(float), lens[mine], np.flatnonzero(inner)
+
+    pairs, total = np.zeros(3), 0.0
+    for _, y, _, i in fitting():
+        pairs += [((y[i - 1] == s) & (y[i] == t)).sum() for s, t in ((0, 1), (1, 0), (1, 1))]
+        total += y.sum()
+    total = max(total, 1.0)
     g2, g2s, g2b = np.full(BUCKETS, 1e-6), np.full(3, 1e-6), 1e-6
-    flat, times = feats.ravel(), feats.shape[1]
     for _ in range(ROUNDS):
-        u = model.logits(feats)[codes_t]
-        p, r, g, _ = model.marginals(u, lens_t)
-        by_word = np.bincount(codes_t, weights=p - y_t, minlength=len(words))
-        grad = np.bincount(flat, weights=np.repeat(by_word, times), minlength=BUCKETS) / total + 2e-5 * model.weights
-        grad[0] = 0
+        told, by_word, grad, grad_s = model.logits(feats), np.zeros(len(feats)), np.zeros(BUCKETS), np.zeros(3)
         a, b, c = np.exp(model.steps)
-        joint = np.stack([a * g[i], r[i - 1] * b, r[i - 1] * c * g[i]])
-        grad_s = ((joint / (1 + joint.sum(0))).sum(1) - pairs) / total + 1e-3 * model.steps
+        for own, y, n, i in fitting():
+            p, r, g, _ = model.marginals(told[own], n)
+            by_word += np.bincount(own, weights=p - y, minlength=len(feats))
+            joint = np.stack([a * g[i], r[i - 1] * b, r[i - 1] * c * g[i]])
+            grad_s += (joint / (1 + joint.sum(0))).sum(1)
+        for i in range(0, len(feats), ROWS):
+            grad += np.bincount(feats[i : i + ROWS].ravel(), weights=np.repeat(by_word[i : i + ROWS], feats.shape[1]), minlength=BUCKETS)
+        grad = grad / total + 2e-5 * model.weights
+        grad[0] = 0
+        grad_s = (grad_s - pairs) / total + 1e-3 * model.steps
         grad_b = by_word.sum() / total
         g2, g2s, g2b = g2 + grad**2, g2s + grad_s**2, g2b + grad_b**2
         model.weights -= 0.5 * grad / np.sqrt(g2)
         model.steps = np.clip(model.steps - 0.2 * grad_s / np.sqrt(g2s), -4, 4)
         model.bias -= 0.3 * grad_b / np.sqrt(g2b)
-    p, *_ = model.marginals(model.logits(feats)[codes], lens)
-    x = model.summary(p, lens)
+    told = model.logits(feats)
+    x = np.concatenate([model.summary(model.marginals(told[codes[at[k.start] : at[k.stop]]], lens[k])[0], lens[k]) for k in runs(lens, TOKENS)])
     fitted = held if 5 < toxic[held].sum() < held.sum() - 5 else np.ones(len(texts), bool)
     model.scale = np.stack([x[fitted].mean(0), x[fitted].std(0) + 1e-6])
     z = np.column_stack([np.ones(fitted.sum()), (x[fitted] - model.scale[0]) / model.scale[1]])
@@ -200,9 +230,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Crf:
     # at most 2 * fit_docs ids
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(size.alias("size"), "text")).alias("r"))
     rows = found.select("doc_id", "toxic", "r.text").toArrow()
-    texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
     order = np.argsort(rows.column("doc_id").to_numpy())
-    return fit([texts[i] for i in order], rows.column("toxic").to_numpy()[order], counts[1] / (counts[0] + counts[1]))
+    texts, toxic = as_bytes(rows.column("text")), rows.column("toxic").to_numpy()[order]
+    del rows
+    texts = [texts[i] for i in order]
+    trim()
+    model = fit(texts, toxic, counts[1] / (counts[0] + counts[1]))
+    del texts
+    trim()
+    return model
 
 
 def spans_of(text: bytes, flagged: np.ndarray) -> list[dict]:

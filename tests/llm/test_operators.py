@@ -535,3 +535,24 @@ def test_pipeline_near_copies(spark, tmp_path):
     rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, near, far))]
     docs = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 2}
+
+
+def test_chain_is_fitted_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    toxic = np.arange(240) % 2
+    texts = [b" ".join(b"w%d" % x for x in rng.integers(2000, size=3000)) + (b" vile%d" % (i % 3)) * (9 * t) for i, t in enumerate(toxic.tolist())]
+    monkeypatch.setattr(toxicity, "ROUNDS", 3)
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(texts, toxic, 0.1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 70_000_000  # of some 720,000 tokens
+    for size in (1 << 12, 1 << 21):  # whatever is taken at a time
+        monkeypatch.setattr(toxicity, "TOKENS", size)
+        again = toxicity.fit(texts, toxic, 0.1)
+        assert np.allclose(again.weights, model.weights) and np.allclose(again.curve, model.curve)
+    assert [list(range(5))[x] for x in toxicity.runs(np.array([3, 0, 9, 1, 1]), 4)] == [[0, 1], [2], [3, 4]]
