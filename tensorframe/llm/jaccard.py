@@ -131,14 +131,15 @@ def jaccard_members(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             yield pa.RecordBatch.from_arrays([table.column("cls").combine_chunks(), pa.array([keys[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["cls", "items"])
 
     release(docs.sparkSession)
-    member = cut(rows.mapInArrow(members, f"doc_id {kind}, version long, n_shingles long, cls long, sigs array<long>, met array<long>"), "members")
+    signed = cut(rows.mapInArrow(members, f"doc_id {kind}, version long, n_shingles long, cls long, sigs array<long>, met array<long>"), "signed")
+    member = cut(signed.select("doc_id", "version", "n_shingles", "cls"), "members")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         first = member.where("cls IS NOT NULL").join(ids, "cls", "left_semi").groupBy("cls").agg(least_row().alias("r"))
         wanted = cut(first.select("cls", F.col("r.id").alias("id"), F.col("r.version").alias("of")), "wanted")
         return with_requests(rows, wanted).mapInArrow(items, "cls long, items binary")
 
-    found = linked(member, sets_of, num, den).withColumnRenamed("node", "cls")
+    found = linked(signed, sets_of, num, den, [signed]).withColumnRenamed("node", "cls")
     return member.join(found, "cls", "left").select("doc_id", "version", "n_shingles", F.coalesce("comp", "cls").alias("root"))
 
 

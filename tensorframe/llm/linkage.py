@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop, release, same_row, starts
 
 BROADCAST_BYTES = 32 << 20
+#: hashes are shuffled in so many slices at most, one after another, of so many rows at least
+SLICES, SLICE_ROWS = 4, 1 << 22
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -62,10 +64,16 @@ def alike(num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, made: list) -> DataFrame:
+    """Those of the pairs, a table that was cut, that are alike: written, a slice of the pairs at a time."""
     x = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long")
+
+    def links(i: int, n: int) -> DataFrame:
+        within = f"pmod(xxhash64(a), {n}) = {i}"
+        return cut(pairs.where(within).join(x.where(within), "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long"), "links", made)
+
+    return in_slices(links, sets.agg(F.sum("n")).first()[0])
 
 
 def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,19 +112,25 @@ def local_signatures(sig: np.ndarray, owner: np.ndarray, n: int) -> tuple[pa.Arr
     return lists(first | last), lists(met)
 
 
-def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, over: list[DataFrame] | tuple = ()) -> DataFrame:
     """node, comp of every set that links to another.
 
     member: cls, sigs, met, the signatures of a set as ``local_signatures`` gives them, in one row or
-    several; sets_of: cls -> cls, items for some.
+    several; sets_of: cls -> cls, items for some; over: tables to be dropped once member has been read.
 
     What is aggregated by a key is cut before rows join it, so that the join may split hot keys.
     """
     made: list[DataFrame] = []
     own = Window.partitionBy("sig")  # at most two rows a chunk of texts
-    sent = member.select(F.explode("sigs").alias("sig"), "cls").withColumn("low", F.min("cls").over(own)).withColumn("top", F.max("cls").over(own)).where("low <> top")
-    buckets = cut(sent.select("sig", "cls").unionAll(member.select(F.explode("met").alias("sig"), "cls")).distinct(), "buckets", made)
-    release(buckets.sparkSession)
+    total = member.agg(F.sum(F.size("sigs") + F.size("met"))).first()[0]
+
+    def shared(i: int, n: int) -> DataFrame:
+        within = f"pmod(sig, {n}) = {i}"
+        sent = member.select(F.explode("sigs").alias("sig"), "cls").where(within).withColumn("low", F.min("cls").over(own)).withColumn("top", F.max("cls").over(own)).where("low <> top")
+        return cut(sent.select("sig", "cls").unionAll(member.select(F.explode("met").alias("sig"), "cls").where(within)).distinct(), "buckets", made)
+
+    buckets = in_slices(shared, total)
+    drop(*over)
     sizes = cut(buckets.groupBy("sig").agg(F.count("*").alias("m")), "sizes", made)
     # the more others a set meets in all its buckets, the more central it is
     degrees = cut(buckets.join(sizes, "sig").groupBy("cls").agg(F.sum("m").alias("degree")), "degrees", made)
@@ -126,13 +140,13 @@ def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
     hubs = cut(ranked.groupBy("sig").agg(F.max(F.struct("degree", "cls")).alias("hub")), "hubs", made)
     stars = ranked.join(hubs, "sig").where("cls <> hub.cls").groupBy("cls").agg(F.max("hub").alias("hub"))
     best = cut(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")), "pairs", made)
-    labels = components(cut(verified(best, sets, num, den), "links", made))
+    labels = components(verified(best, sets, num, den, made))
     left = _mixed(buckets, labels, made).join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
     left = cut(left.join(sets.select("cls", "n"), "cls"), "mixed", made)
     release(buckets.sparkSession)
     pairs = prefix_pairs(left, sets, num, den, made).unionAll(change_pairs(left, sets, num, den, made)).distinct()
     known = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets, num, den), "links", made)
+    more = verified(cut(pairs.join(known, ["a", "b"], "left_anti"), "pairs", made), sets, num, den, made)
     out = joined(labels, more)
     drop(*made)
     release(buckets.sparkSession)
@@ -147,28 +161,56 @@ def unique_sets(found: DataFrame, made: list) -> DataFrame:
     return sets
 
 
+def in_slices(part: Callable[[int, int], DataFrame], rows: int | None) -> DataFrame:
+    """The tables that ``part`` cuts of one slice of hashes after another: what is shuffled for one goes before the next.
+
+    part gets the slice and the number of slices, SLICES at most, which follows from the number of rows.
+    """
+    n = min(SLICES, 1 + (rows or 0) // SLICE_ROWS)
+    cuts = []
+    for i in range(n):
+        cuts.append(part(i, n))
+        release(cuts[-1].sparkSession)
+    return cuts[0] if n == 1 else cuts[0].sparkSession.read.schema(cuts[0].schema).parquet(*[x._cut_path for x in cuts])
+
+
 def exploded(sets: DataFrame, made: list) -> DataFrame:
     """cls, el, place, d: elements of sets (cls, within, items) that another set within the same has too.
 
     place is the element's rank in its set from the rarest on, d the number of all elements of the set.
+    sets is a table that was cut. Elements that no other set has come first, so they needn't be ranked, or kept.
     """
 
-    def opened(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [np.frombuffer(x, np.int64) for x in part.column("items").to_pylist()]
-                own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                columns = [part.column(c).to_numpy()[own] for c in ("cls", "within")]
-                yield from pa.table([*columns, np.concatenate(sets)], names=["cls", "within", "el"]).to_batches(max_chunksize=20_000)
-
-    rows = sets.mapInArrow(opened, "cls long, within long, el long")
-    common = cut(rows.groupBy("within", "el").agg(F.count("*").alias("df")).where("df > 1"), "common", made)
-    release(sets.sparkSession)
-    counted = rows.join(common, ["within", "el"], "left").select("cls", "el", "df")
+    def opened(i: int, n: int):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    sets = [np.frombuffer(x, np.int64) for x in part.column("items").to_pylist()]
+                    el, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                    if n > 1:
+                        use = np.flatnonzero(el % n == i)
+                        el, own = el[use], own[use]
+                    columns = [part.column(c).to_numpy()[own] for c in ("cls", "within")]
+                    yield from pa.table([*columns, el], names=["cls", "within", "el"]).to_batches(max_chunksize=20_000)
+
+        return run
+
+    size = F.expr("int(length(items) div 8)")
+
+    def shared(i: int, n: int) -> DataFrame:
+        some, own = sets.mapInArrow(opened(i, n), "cls long, within long, el long"), []
+        common = cut(some.groupBy("within", "el").agg(F.count("*").alias("df")).where("df > 1"), "common", own)
+        release(sets.sparkSession)
+        out = cut(some.join(common, ["within", "el"]).select("cls", "el", "df"), "met", made)
+        drop(*own)
+        return out
+
+    met = in_slices(shared, sets.agg(F.sum(size)).first()[0])
     own = Window.partitionBy("cls")
-    place = F.row_number().over(own.orderBy(F.coalesce("df", F.lit(1)), "el"))
-    return counted.withColumn("place", place).withColumn("d", F.count("*").over(own).cast("int")).where("df > 1").drop("df")
+    ranked = met.withColumn("own", F.row_number().over(own.orderBy("df", "el"))).withColumn("common", F.count("*").over(own))
+    sizes = few(sets.select("cls", size.alias("d")))
+    return ranked.join(sizes, "cls").select("cls", "el", F.expr("int(d - common + own)").alias("place"), "d")
 
 
 def prefix_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, made: list) -> DataFrame:
@@ -178,9 +220,11 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, made: lis
     the n - ceil(num * n / den) + 1 rarest of each, in any one order of the elements; of two known
     sizes that must share t elements, one of the n - t + 1 rarest of each.
     """
-    own = sets.join(few(left.select("cls")), "cls", "left_semi").select("cls", F.lit(0).cast("long").alias("within"), "items")
-    rows = exploded(own, made).join(few(left), "cls")
-    kept = cut(rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub", "n", "place"), "prefixes", made)
+    own = cut(sets.join(few(left.select("cls")), "cls", "left_semi").select("cls", F.lit(0).cast("long").alias("within"), "items"), "opened", mine := [])
+    rows = exploded(own, mine).join(few(left), "cls")
+    first = rows.where(f"place <= n - ({num} * n + {den - 1}) div {den} + 1").select("el", "cls", "comp", "hub", "n", "place")
+    kept = in_slices(lambda i, n: cut(first.where(f"pmod(xxhash64(cls), {n}) = {i}"), "prefixes", made), sets.agg(F.sum("n")).first()[0])
+    drop(*mine)
     release(sets.sparkSession)
     x, y = (kept.select("el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("hub", "h"), ("n", "n"), ("place", "p"))]) for c in "ab")
     share = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"  # what alike sets of these sizes share at least
@@ -203,11 +247,23 @@ def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, made: lis
             got = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True).tobytes() for x, y in zip(batch.column("items").to_pylist(), batch.column("base").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("hub"), pa.array(got, pa.binary())], ["cls", "within", "items"])
 
+    mine: list[DataFrame] = []
     base = sets.select(F.col("cls").alias("hub"), F.col("items").alias("base"))
-    own = sets.select("cls", "items").join(few(left.select("cls", "hub")), "cls").join(base, "hub").select("cls", "hub", "items", "base")
-    rows = exploded(own.mapInArrow(changes, "cls long, within long, items binary"), made).join(few(left), "cls").withColumnRenamed("hub", "within")
+    several = left.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("hub")
+    left = cut(left.join(several, "hub", "left_semi"), "several", mine)  # others meet nobody under their hub
+
+    def changed(i: int, n: int) -> DataFrame:
+        some = left.where(f"pmod(xxhash64(hub), {n}) = {i}")
+        hubs = base.join(few(some.select("hub").distinct()), "hub", "left_semi")
+        own = sets.select("cls", "items").join(few(some.select("cls", "hub")), "cls").join(hubs, "hub").select("cls", "hub", "items", "base")
+        return cut(own.mapInArrow(changes, "cls long, within long, items binary"), "opened", mine)
+
+    elements = sets.agg(F.sum("n")).first()[0]
+    rows = exploded(in_slices(changed, elements), mine).join(few(left), "cls").withColumnRenamed("hub", "within")
     most = f"(n * {den - num} div {num})"
-    kept = cut(rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", "n", "place", F.expr(f"place <= {most} div 2 + 1").alias("small")), "changes", made)
+    first = rows.where(f"place <= {most} + 1").select("within", "el", "cls", "comp", "d", "n", "place", F.expr(f"place <= {most} div 2 + 1").alias("small"))
+    kept = in_slices(lambda i, n: cut(first.where(f"pmod(xxhash64(cls), {n}) = {i}"), "changes", made), elements)
+    drop(*mine)
     release(sets.sparkSession)
     x, y = (t.select("within", "el", *[F.col(k).alias(v + c) for k, v in (("cls", ""), ("comp", "c"), ("d", "d"), ("n", "n"), ("place", "p"))]) for c, t in (("a", kept.where("small")), ("b", kept)))
     share = f"greatest(1, (da + db - (na + nb) * {den - num} div {num + den} + 1) div 2)"

@@ -556,3 +556,30 @@ def test_chain_is_fitted_in_bounded_memory(monkeypatch):
         again = toxicity.fit(texts, toxic, 0.1)
         assert np.allclose(again.weights, model.weights) and np.allclose(again.curve, model.curve)
     assert [list(range(5))[x] for x in toxicity.runs(np.array([3, 0, 9, 1, 1]), 4)] == [[0, 1], [2], [3, 4]]
+
+
+def test_jaccard_shuffles_a_slice_at_a_time(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):  # families whose members are alike, or nearly so
+        base = [f"w{rng.randrange(400)}" for _ in range(120)]
+        for _ in range(5):
+            own = base[:]
+            for _ in range(rng.choice([0, 1, 2, 4, 8])):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert len(set(least)) < len(texts) and any(sets[a] & sets[b] and least[a] != least[b] for a, b in itertools.combinations(range(len(texts)), 2))
+    monkeypatch.setattr(linkage, "SLICE_ROWS", 1, raising=False)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    stages = lambda: {(s := found.apply(i)).stageId(): s.shuffleWriteRecords() for found in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())] for i in range(found.size())}
+    before = stages()
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 80, 100, 5).collect()} == dict(enumerate(least))
+    written = max(n for s, n in stages().items() if s not in before)
+    assert written < 0.4 * sum(map(len, sets)), (written, sum(map(len, sets)))
