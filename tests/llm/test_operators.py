@@ -583,3 +583,16 @@ def test_jaccard_shuffles_a_slice_at_a_time(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 80, 100, 5).collect()} == dict(enumerate(least))
     written = max(n for s, n in stages().items() if s not in before)
     assert written < 0.4 * sum(map(len, sets)), (written, sum(map(len, sets)))
+
+
+def test_pairs_beyond_the_limit_are_told(spark, monkeypatch):
+    from functools import partial
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.choice('abcdefg')}{rng.choice(['lo', 'mi', 'ster'])}{rng.randrange(60)}" for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).localCheckpoint()
+    scores = lambda: {r.doc_id: r.score for r in language_model.lm_scores(docs, fit_docs=10).collect()}
+    whole = scores()
+    monkeypatch.setattr(language_model, "spelled", partial(language_model.spelled, most=20))
+    some = scores()
+    assert len(some) == 60 and max(abs(some[i] / whole[i] - 1) for i in whole) < 1e-4
