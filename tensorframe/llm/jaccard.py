@@ -4,9 +4,11 @@ PartEnum: sizes are cut into bands so that alike sets lie in the same or the nex
 of a band differ in at most k elements, with k from the band's largest size. Elements fall by hash
 into parts of two halves each, so that there are more halves than k; every half of a part is a
 signature, and alike sets share each half that no difference falls into. Of those there are at
-least as many as halves beyond k, so a set with fewer empty halves than that needn't sign with
-them: one of the shared ones has elements. A set signs for its own band and for the one below. Sets
-of a band with k = 0 are alike only if equal; equal sets are one class from the start.
+least as many as halves beyond k. In one order of all contents, the last of the shared halves has
+the others before it in either set, so a set signs with its k + 1 last halves only: those with most
+elements, as a half with one shingle or none is shared by many unlike sets. A set signs for its own
+band and for the one below. Sets of a band with k = 0 are alike only if equal; equal sets are one
+class from the start.
 
 Defined cases: null, empty or blank text has no shingle, is linked with nothing and is its own
 component; fewer than three words make one shingle; repeated rows stay and share a component;
@@ -85,7 +87,7 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
         tag = np.maximum(band - down, 0)
         k = ends[tag] * (den - num) // num
         use = (sizes > 0) & (tag > 0) & (k > 0) & (den * ends[tag] >= num * sizes)
-        parts = np.where(use, (k + 2) // 2 + 1 + k // 20, 0)  # of two halves each
+        parts = np.where(use, (k + 2) // 2 + 1 + 3 * k // 20, 0)  # of two halves each
         base = starts(2 * parts)
         e = np.repeat(use, sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes)[e]
@@ -94,12 +96,12 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
         acc = np.zeros(base[-1], np.uint64)
         np.add.at(acc, base[doc] + part, mix(h))
         own = np.repeat(np.arange(len(sizes)), 2 * parts)
-        empty = np.bincount(base[doc] + part, minlength=len(acc)) == 0
-        signs = ~empty | (np.bincount(own[empty], minlength=len(sizes)) >= 2 * parts - k)[own]
-        acc, own, at = acc[signs], own[signs], np.flatnonzero(signs)
-        place = (at - base[own]).astype(np.uint64)
-        sig.append(mix(acc ^ mix(place + (tag[own].astype(np.uint64) << np.uint64(32)))))
-        owner.append(own)
+        place = np.arange(len(acc)) - base[own]
+        made = mix(acc ^ mix(place.astype(np.uint64) + (tag[own].astype(np.uint64) << np.uint64(32))))
+        order = np.lexsort((made, np.bincount(base[doc] + part, minlength=len(acc)), own))
+        last = order[place >= (2 * parts - k - 1)[own]]
+        sig.append(made[last])
+        owner.append(own[last])
     return np.concatenate(sig).astype(np.int64), np.concatenate(owner)
 
 

@@ -2,9 +2,14 @@
 
 Sets meet in buckets by signature. Each first meets one other: the most central member of one of
 its buckets, the one it shares most buckets with. Verified links are contracted to components.
-Only sets in buckets that still hold several components go on: such a set meets those of other
-components with which it shares one of its rarest elements or, if both first met the same hub,
-one of its rarest changes against the hub. Alike sets must share one. Nothing is capped.
+Of buckets that still hold several components, small ones are settled pair by pair. Only sets in
+larger ones go on: such a set meets those of other components with which it shares one of its
+rarest elements or, if both first met the same hub, one of its rarest changes against the hub.
+Alike sets must share one. Nothing is capped.
+
+Before two sets are fetched to be compared, their sketches are: a bit for each place that elements
+hash to, set if an odd number of them does. Two sketches differ in no more bits than their sets do
+in elements, so only pairs that can't be alike go.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from .common import cut, drop, release, same_row, starts
 BROADCAST_BYTES = 32 << 20
 #: hashes are shuffled in so many slices at most, one after another, of so many rows at least
 SLICES, SLICE_ROWS = 4, 1 << 22
+#: buckets of so many sets are settled pair by pair, which makes half as many pairs a row at most
+SMALL = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -64,16 +71,48 @@ def alike(num: int, den: int):
     return run
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """A bit for each place that elements hash to, twice as many as elements or more: set if an odd number of them does."""
+    size = 1 << max(6, int(len(items)).bit_length())
+    return np.packbits(np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Elements that two sets differ in at least, by their sketches; the longer one is folded."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(p) < len(q):
+        p, q = q, p
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def possible(num: int, den: int):
+    """For mapInArrow: the pairs a, b whose sizes and sketches don't rule out that they are alike."""
+
+    def run(batches):
+        for batch in batches:
+            x, y, m, n = (batch.column(c).to_pylist() for c in ("x", "y", "m", "n"))
+            ok = [den * min(i, j) >= num * max(i, j) and (den + num) * differing(p, q) <= (den - num) * (i + j) for p, q, i, j in zip(x, y, m, n)]
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    return run
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, made: list) -> DataFrame:
     """Those of the pairs, a table that was cut, that are alike: written, a slice of the pairs at a time."""
-    x = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
+    x, y = (sets.select(F.col("cls").alias(c), F.col("sketch").alias(v), F.col("n").alias(k)) for c, v, k in (("a", "x", "m"), ("b", "y", "n")))
+    left = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(possible(num, den), "a long, b long"), "possible", made)
+    need = sets.join(few(left.select(F.col("a").alias("cls")).unionAll(left.select(F.col("b").alias("cls"))).distinct()), "cls", "left_semi")
+    x = need.select(F.col("cls").alias("a"), F.col("items").alias("x"))
+    y = need.select(F.col("cls").alias("b"), F.col("items").alias("y"))
 
     def links(i: int, n: int) -> DataFrame:
         within = f"pmod(xxhash64(a), {n}) = {i}"
-        return cut(pairs.where(within).join(x.where(within), "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long"), "links", made)
+        return cut(left.where(within).join(x.where(within), "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike(num, den), "a long, b long"), "links", made)
 
-    return in_slices(links, sets.agg(F.sum("n")).first()[0])
+    return in_slices(links, left.join(sets.select(F.col("cls").alias("a"), "n"), "a").agg(F.sum("n")).first()[0])
 
 
 def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,11 +180,17 @@ def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
     stars = ranked.join(hubs, "sig").where("cls <> hub.cls").groupBy("cls").agg(F.max("hub").alias("hub"))
     best = cut(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")), "pairs", made)
     labels = components(verified(best, sets, num, den, made))
-    left = _mixed(buckets, labels, made).join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
-    left = cut(left.join(sets.select("cls", "n"), "cls"), "mixed", made)
+    known = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    mixed = _mixed(buckets, labels, made)
+    near = _bucket_pairs(buckets, labels, mixed).join(known, ["a", "b"], "left_anti")
+    direct = verified(cut(near, "pairs", made), sets, num, den, made)
+    release(buckets.sparkSession)
+    labels = joined(labels, direct)
+    left = _labelled(buckets, labels).join(mixed.where(f"m > {SMALL}"), "sig", "left_semi").select("cls", "comp").distinct()
+    left = left.join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
+    left = cut(left.join(sets.select("cls", "n"), "cls"), "left", made)
     release(buckets.sparkSession)
     pairs = prefix_pairs(left, sets, num, den, made).unionAll(change_pairs(left, sets, num, den, made)).distinct()
-    known = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = verified(cut(pairs.join(known, ["a", "b"], "left_anti"), "pairs", made), sets, num, den, made)
     out = joined(labels, more)
     drop(*made)
@@ -154,8 +199,15 @@ def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
 
 
 def unique_sets(found: DataFrame, made: list) -> DataFrame:
-    """cls, items, n (elements) of each set once; rows that repeat in full bring a set more often."""
-    sets = cut(found.withColumn("n", F.expr("int(length(items) div 8)")), "sets", made)
+    """cls, items, n (elements), sketch of each set once; rows that repeat in full bring a set more often."""
+
+    def sketched(batches):
+        for batch in batches:
+            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
+            more = [pa.array([len(x) for x in items], pa.int32()), pa.array([sketch(x) for x in items], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("items"), *more], ["cls", "items", "n", "sketch"])
+
+    sets = cut(found.mapInArrow(sketched, "cls long, items binary, n int, sketch binary"), "sets", made)
     if sets.count() > sets.select("cls").distinct().count():
         sets = cut(sets.dropDuplicates(["cls"]), "sets", made)
     return sets
@@ -271,11 +323,22 @@ def change_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, made: lis
     return x.join(y, ["within", "el"]).where(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, cls, comp: the buckets with each set's component."""
+    return buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
+
+
 def _mixed(buckets: DataFrame, labels: DataFrame, made: list) -> DataFrame:
-    """cls, comp of the sets in buckets that hold several components."""
-    labelled = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = cut(labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "mixed", made)
-    return labelled.join(mixed, "sig", "left_semi").select("cls", "comp").distinct()
+    """sig, m (sets) of the buckets that hold several components."""
+    found = _labelled(buckets, labels).groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    return cut(found.where("x <> y").select("sig", "m"), "mixed", made)
+
+
+def _bucket_pairs(buckets: DataFrame, labels: DataFrame, mixed: DataFrame) -> DataFrame:
+    """a, b, a > b: the pairs of different components in mixed buckets of SMALL sets at most."""
+    each = _labelled(buckets, labels).join(mixed.where(f"m <= {SMALL}"), "sig", "left_semi").groupBy("sig").agg(F.collect_list(F.struct("cls", "comp")).alias("s"))
+    others = each.select("s", F.explode("s").alias("p")).select("p", F.explode(F.filter("s", lambda q: (q["cls"] < F.col("p.cls")) & (q["comp"] != F.col("p.comp")))).alias("q"))
+    return others.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
 
 
 def few(df: DataFrame, size: str = "0") -> DataFrame:

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -596,3 +597,51 @@ def test_pairs_beyond_the_limit_are_told(spark, monkeypatch):
     monkeypatch.setattr(language_model, "spelled", partial(language_model.spelled, most=20))
     some = scores()
     assert len(some) == 60 and max(abs(some[i] / whole[i] - 1) for i in whole) < 1e-4
+
+
+def test_few_meet_by_one_shared_shingle():
+    """Sets that share one element needn't meet by it, though many have it."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.append(rng.integers(0, 2**63, 199).astype(np.uint64), np.uint64(5))) for _ in range(500)]
+    sig, owner = jaccard.signatures(np.concatenate(sets), np.array([len(s) for s in sets]), 80, 100)
+    _, n = np.unique(sig, return_counts=True)
+    assert (n > 1).sum() <= 3 and len(np.unique(owner)) == 500  # of some 52,000
+
+
+def families(spark, rng):
+    """Sets, and a table of them in families of five, some alike and others not; every pair of links."""
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, 100)
+        for _ in range(5):
+            sets.append(np.unique(np.append(base[rng.choice(100, rng.integers(70, 100), replace=False)], rng.integers(0, 2**63, rng.integers(1, 20)))))
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    return sets, links, spark.createDataFrame([(i, bytearray(s.astype(np.uint64).tobytes())) for i, s in enumerate(sets)], "cls long, items binary")
+
+
+def test_small_buckets_are_settled_pair_by_pair(spark, monkeypatch):
+    """Nobody of a small bucket goes on to be told by its rarest elements, and no link is lost."""
+    sets, links, table = families(spark, np.random.default_rng(2))
+    member = spark.createDataFrame([(i, [i // 5, 100 + i // 5 * 5 + i % 2], []) for i in range(len(sets))], "cls long, sigs array<long>, met array<long>")
+    gone_on = []
+    prefixes = linkage.prefix_pairs
+    monkeypatch.setattr(linkage, "prefix_pairs", lambda left, *rest: gone_on.append(left.count()) or prefixes(left, *rest))
+    got = {r.node: r.comp for r in linkage.linked(member, lambda ids: table.join(ids, "cls", "left_semi"), 80, 100).collect()}
+    least = list(range(len(sets)))
+    for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {i: got.get(i, i) for i in range(len(sets))} == dict(enumerate(least)) and 5 < len(set(least)) < len(sets)
+    assert gone_on == [0]
+
+
+def test_sketches_rule_out_unlike_pairs_only(spark):
+    """No two sets differ in fewer elements than their sketches say, and most unlike pairs go."""
+    sets, links, _ = families(spark, np.random.default_rng(9))
+    keys = [s.astype(np.uint64) for s in [*sets, np.zeros(0), np.arange(3), np.arange(2000) * 977]]
+    for x, y in itertools.combinations(keys, 2):
+        assert linkage.differing(linkage.sketch(x), linkage.sketch(y)) <= len(np.setxor1d(x, y))
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    batch = pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "x": [linkage.sketch(keys[a]) for a, _ in pairs], "y": [linkage.sketch(keys[b]) for _, b in pairs], "m": [len(keys[a]) for a, _ in pairs], "n": [len(keys[b]) for _, b in pairs]}).to_batches()[0]
+    left = {(a, b) for out in linkage.possible(80, 100)([batch]) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+    assert set(links) <= left and len(left) < 200 < len(pairs)
