@@ -151,11 +151,12 @@ def local_signatures(sig: np.ndarray, owner: np.ndarray, n: int) -> tuple[pa.Arr
     return lists(first | last), lists(met)
 
 
-def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, over: list[DataFrame] | tuple = ()) -> DataFrame:
+def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, over: list[DataFrame] | tuple = (), small: int = SMALL) -> DataFrame:
     """node, comp of every set that links to another.
 
     member: cls, sigs, met, the signatures of a set as ``local_signatures`` gives them, in one row or
-    several; sets_of: cls -> cls, items for some; over: tables to be dropped once member has been read.
+    several; sets_of: cls -> cls, items for some; over: tables to be dropped once member has been read;
+    small: sets of a bucket that is settled pair by pair, 0 where alike sets may share no signature.
 
     What is aggregated by a key is cut before rows join it, so that the join may split hot keys.
     """
@@ -182,11 +183,11 @@ def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: in
     labels = components(verified(best, sets, num, den, made))
     known = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     mixed = _mixed(buckets, labels, made)
-    near = _bucket_pairs(buckets, labels, mixed).join(known, ["a", "b"], "left_anti")
+    near = _bucket_pairs(buckets, labels, mixed, small).join(known, ["a", "b"], "left_anti")
     direct = verified(cut(near, "pairs", made), sets, num, den, made)
     release(buckets.sparkSession)
     labels = joined(labels, direct)
-    left = _labelled(buckets, labels).join(mixed.where(f"m > {SMALL}"), "sig", "left_semi").select("cls", "comp").distinct()
+    left = _labelled(buckets, labels).join(mixed.where(f"m > {small}"), "sig", "left_semi").select("cls", "comp").distinct()
     left = left.join(best.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.coalesce("b", "cls").alias("hub"))
     left = cut(left.join(sets.select("cls", "n"), "cls"), "left", made)
     release(buckets.sparkSession)
@@ -334,9 +335,9 @@ def _mixed(buckets: DataFrame, labels: DataFrame, made: list) -> DataFrame:
     return cut(found.where("x <> y").select("sig", "m"), "mixed", made)
 
 
-def _bucket_pairs(buckets: DataFrame, labels: DataFrame, mixed: DataFrame) -> DataFrame:
-    """a, b, a > b: the pairs of different components in mixed buckets of SMALL sets at most."""
-    each = _labelled(buckets, labels).join(mixed.where(f"m <= {SMALL}"), "sig", "left_semi").groupBy("sig").agg(F.collect_list(F.struct("cls", "comp")).alias("s"))
+def _bucket_pairs(buckets: DataFrame, labels: DataFrame, mixed: DataFrame, small: int) -> DataFrame:
+    """a, b, a > b: the pairs of different components in mixed buckets of ``small`` sets at most."""
+    each = _labelled(buckets, labels).join(mixed.where(f"m <= {small}"), "sig", "left_semi").groupBy("sig").agg(F.collect_list(F.struct("cls", "comp")).alias("s"))
     others = each.select("s", F.explode("s").alias("p")).select("p", F.explode(F.filter("s", lambda q: (q["cls"] < F.col("p.cls")) & (q["comp"] != F.col("p.comp")))).alias("q"))
     return others.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
 

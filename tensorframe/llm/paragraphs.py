@@ -258,7 +258,7 @@ def repeated(docs: DataFrame, recall: float = 0.99) -> DataFrame:
         wanted = cut(each.groupBy(F.col("r.id").alias("id"), F.col("r.version").alias("of")).agg(F.collect_set("cls").alias("cls")), "wanted", made)
         return with_requests(reps, wanted).mapInArrow(items, "cls long, items binary")
 
-    found = linked(scan.select("cls", "sigs", "met"), sets_of, 4, 5).withColumnRenamed("node", "cls")
+    found = linked(scan.select("cls", "sigs", "met"), sets_of, 4, 5, small=0).withColumnRenamed("node", "cls")
     rooted = cut(member.join(found, "cls", "left").withColumn("root", F.coalesce("comp", "cls")).drop("cls", "comp"), "rooted", made)
     release(docs.sparkSession)
     lines = cut(rooted.join(keepers(rooted, "root", made), "root").where("doc_id <> keeper").select("doc_id", "version", "first", "n", "keeper"), "lines", made)
