@@ -28,3 +28,34 @@ def test_a_whole_outer_product_is_dealt_out(spark, monkeypatch, sent):
         got = evaluate(e, whole=True)
         assert "REPARTITION_BY_NUM" in executed(got)
         assert cells(got) == {tuple({"i": i, "j": 1, "k": k}[n] for n in got.indices): float(i * k) for i in range(40) for k in range(30)}
+
+
+@pytest.mark.parametrize("fibre", [1, 16])
+def test_a_broadcast_under_a_sum_shuffles_what_is_stored(spark, monkeypatch, fibre):
+    """Only stored rows meet; beyond the extent, and where the broadcast has none, they stay as they are."""
+    monkeypatch.setattr(lower, "FIBRE", fibre)
+    a = make(spark, {(0, 1): 2, (3, 1): 4, (4, 1): -7, (6, 1): 1, (7, 1): 5, (9, 1): 6, (-1, 1): 3, (2, 2): 8, (5, 3): 9}, shape={"i": 7})
+    b = make(spark, {(3, 1): 1, (1, 2): 1})
+    x, y = make(spark, {(1,): 10, (2,): 20, (4,): 40}, "j"), make(spark, {(2,): 1}, "j")
+    s = {1: 10.0, 2: 21.0, 4: 40.0}
+    want = {(i, j): v for i in range(7) for j, v in s.items()}
+    for t in (a, b):
+        for at, v in cells(t).items():
+            want[at] = want.get(at, 0.0) + v
+    for e in (a["i", "j"] + x["j"] + b["i", "j"] + bc("i", y["j"]), y["j"] + b["i", "j"] + (a["i", "j"] + x["j"])):
+        for dealt in (1 << 24, 2):
+            monkeypatch.setattr(lower, "DEALT", dealt)
+            got = evaluate(e)
+            assert cells(got) == want == cells(evaluate(e, rewrite=False))
+            assert "Window" in executed(got)
+    v, three = make(spark, {(2,): 5, (3,): 1}, "i", {"i": 4}), contract("j", make(spark, {(1,): 1, (5,): 2}, "j")["j"])
+    assert cells(evaluate(v["i"] + bc("i", three))) == {(0,): 3.0, (1,): 3.0, (2,): 8.0, (3,): 4.0}
+    with pytest.raises(ValueError):
+        evaluate(b["i", "j"] + x["j"])
+    f = make(spark, {(0, 1): 0.1}, shape={"i": 2}, dtype="float")
+    got = evaluate(f["i", "j"] + make(spark, {(1,): 0.2}, "j", dtype="float")["j"])
+    assert got.df.schema["v"].dataType.simpleString() == "float" and set(cells(got)) == {(0, 1), (1, 1)}
+    monkeypatch.setattr(lower, "MOST_DENSE", 20)
+    with pytest.raises(ValueError):
+        evaluate(a["i", "j"] + x["j"])
+    assert len(cells(evaluate(a["i", "j"] + x["j"], whole=True))) == 25
