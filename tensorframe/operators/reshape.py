@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.formats import Format
@@ -56,7 +58,7 @@ def clip(t: SparseTensor, **sizes: int) -> SparseTensor:
 
 def resize(t: SparseTensor, **sizes: int) -> SparseTensor:
     """Declares extents; coordinates stay."""
-    return _with(t, t.df, shape={**t.shape, **sizes}, form=t.format)
+    return replace(t, shape={**t.shape, **sizes}, name="")
 
 
 def shift(t: SparseTensor, by: int = 1) -> SparseTensor:
@@ -73,4 +75,5 @@ def flatten(t: SparseTensor, index: str = "i") -> SparseTensor:
 
 
 def scale(t: SparseTensor, by: float) -> SparseTensor:
-    return _with(t, t.df.withColumn(VALUE, (F.col(VALUE) * F.lit(by)).cast(t.dtype)), form=t.format)
+    scaled = lambda c: (c * F.lit(by)).cast(t.dtype)
+    return replace(t, df=t.df.withColumn(VALUE, scaled(F.col(VALUE))), name="", then=t.then and (lambda c: scaled(t.then(c))))

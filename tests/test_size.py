@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tensorframe.operators import reshape
 from tensorframe.plans import lower
 from tensorframe.plans.expr import bc, contract
 from tensorframe.plans.lower import evaluate
@@ -12,7 +13,8 @@ from .test_algebra import cells, make
 
 
 def executed(t):
-    return t.df._jdf.queryExecution().executedPlan().toString()
+    """The plan of a run that hasn't begun."""
+    return t.df.select("*")._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("sent", [0, 1 << 25])
@@ -59,3 +61,25 @@ def test_a_broadcast_under_a_sum_shuffles_what_is_stored(spark, monkeypatch, fib
     with pytest.raises(ValueError):
         evaluate(a["i", "j"] + x["j"])
     assert len(cells(evaluate(a["i", "j"] + x["j"], whole=True))) == 25
+
+
+def aggregates(t):
+    return executed(t).count("HashAggregate")
+
+
+def test_a_sum_is_one_aggregate_over_loose_rows(spark):
+    """Duplicates within terms and terms over one coordinate are summed at once; before, an aggregate stood above another in a task."""
+    rows = [(0, 1, 2.0), (0, 1, 3.0), (2, 2, -1.0)], [(0, 1, 4.0), (5, 5, 1.5), (5, 5, 1.5)], [(2, 2, 1.0), (7, 0, -0.0)]
+    for dtype in ("double", "float"):
+        a, b, c = (make(spark, r, dtype=dtype) for r in rows)
+        got = evaluate(a["i", "j"] + b["i", "j"] + c["i", "j"])
+        assert cells(got) == {(0, 1): 9.0, (2, 2): 0.0, (5, 5): 3.0, (7, 0): 0.0} == cells(evaluate(a["i", "j"] + b["i", "j"] + c["i", "j"], rewrite=False))
+        assert aggregates(got) == 2 and got.df.schema["v"].dataType.simpleString() == dtype
+        turned = evaluate(a["i", "j"] + b["j", "i"])
+        assert cells(turned) == {(0, 1): 5.0, (1, 0): 4.0, (2, 2): -1.0, (5, 5): 3.0}
+    third = make(spark, [(0, 0, 1 / 3), (0, 0, 1 / 3)], dtype="float")
+    tenth = make(spark, [(0, 0, 0.1)] * 3, dtype="float")
+    e = third["i", "j"] + tenth["i", "j"]
+    assert cells(evaluate(e)) == cells(evaluate(e, rewrite=False))
+    gone = evaluate(a["i", "j"] + reshape.scale(a, -1.0)["i", "j"])
+    assert cells(gone) == {(0, 1): 0.0, (2, 2): 0.0} and executed(gone).count("Scan") == 1
