@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -235,4 +236,4 @@ query("x_layout_tables", "SELECT * FROM (VALUES ('CSR', 'CSR', 'd_cu', 'd_cu'),
 
 def _one(t: SparseTensor) -> SparseTensor:
     """The stored coordinates of t, each with 1."""
-    return SparseTensor(t.df.select(*t.indices, F.lit(1.0).alias("v")), t.indices, t.shape, t.format, t.dtype)
+    return replace(t, df=t.df.select(*t.indices, F.lit(1.0).alias("v")), name="", then=lambda _: F.lit(1.0))

@@ -14,6 +14,7 @@ shuffle. Rewrites keep values and the set of stored coordinates:
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -114,12 +115,17 @@ class Lowering:
         """A sum in one aggregate over the rows of all its terms, a column for each source of rows.
 
         A tensor gives its rows as they were before those of one coordinate were summed, so that no aggregate stands
-        above another in a task.
+        above another in a task. Products of tensors whose rows other factors or terms read as well are taken in too.
         """
+        taken_in = lambda p: all(isinstance(f, Tensor) and f.source.loose is not None and set(f.indices) == set(indices) for f in factors(p))
+        split = [factors(p) if isinstance(p, Mul) and taken_in(p) else [p] for p in parts]
         sources = Sources(self, indices)
-        columns = [sources.column(p) for p in parts]
+        columns = [[sources.column(f) for f in term] for term in split]
+        if len(sources.frames) == sum(map(len, columns)) > len(parts):
+            sources = Sources(self, indices)
+            columns = [[sources.column(p)] for p in parts]
         names = [f"_t{k}" for k in range(len(parts))]
-        rows = sources.rows().select(*indices, *[c.cast("double").alias(n) for n, c in zip(names, columns)])
+        rows = sources.rows().select(*indices, *[functools.reduce(self.ring.times, c).cast("double").alias(n) for n, c in zip(names, columns)])
         total = sum((F.coalesce(n, F.lit(0.0)) for n in names), F.lit(0.0))
         return rows.where(F.coalesce(*names).isNotNull()).select(*indices, total.alias(VALUE))
 

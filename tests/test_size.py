@@ -2,7 +2,10 @@
 
 import random
 
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
 from tensorframe.operators import reshape
 from tensorframe.plans import lower
@@ -83,3 +86,20 @@ def test_a_sum_is_one_aggregate_over_loose_rows(spark):
     assert cells(evaluate(e)) == cells(evaluate(e, rewrite=False))
     gone = evaluate(a["i", "j"] + reshape.scale(a, -1.0)["i", "j"])
     assert cells(gone) == {(0, 1): 0.0, (2, 2): 0.0} and executed(gone).count("Scan") == 1
+
+
+def test_products_under_a_sum_read_their_rows_once(spark):
+    """a and b are read once each, though each occurs twice; where no rows are shared, products stay joins."""
+    rows = [(0, 1, 2.0), (0, 1, 3.0), (2, 2, 4.0), (3, 3, 4.0), (8, 8, float("nan"))], [(0, 1, 4.0), (5, 5, 1.0), (3, 3, 4.0), (8, 8, 1.0)]
+    a, b = (make(spark, r) for r in rows)
+    one = lambda t: replace(t, df=t.df.select("i", "j", F.lit(1.0).alias("v")), then=lambda _: F.lit(1.0))
+    e = a["i", "j"] * one(b)["i", "j"] + reshape.scale(b, -1.0)["i", "j"] * one(a)["i", "j"]
+    got = evaluate(e)
+    assert aggregates(got) == 2 and "Join" not in executed(got) and executed(got).count("Scan") == 2
+    known = lambda t: {k: v for k, v in cells(t).items() if k != (8, 8)}
+    assert known(got) == {(0, 1): 1.0, (3, 3): 0.0} == known(evaluate(e, rewrite=False)) and (8, 8) in cells(got)
+    c, d = make(spark, [(0, 1, 7.0)]), make(spark, [(0, 1, 3.0), (3, 3, 2.0)])
+    apart = evaluate(a["i", "j"] * c["i", "j"] + b["i", "j"] * d["i", "j"])
+    assert "Join" in executed(apart) and cells(apart) == {(0, 1): 47.0, (3, 3): 8.0}
+    wide = make(spark, {(0,): 2, (3,): 1}, "i")
+    assert known(evaluate(a["i", "j"] * wide["i"] + a["i", "j"])) == {(0, 1): 15.0, (2, 2): 4.0, (3, 3): 8.0}
