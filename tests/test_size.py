@@ -2,6 +2,7 @@
 
 import random
 
+import random
 from dataclasses import replace
 
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from tensorframe.operators import reshape
 from tensorframe.plans import lower
 from tensorframe.plans.expr import bc, contract
-from tensorframe.plans.lower import evaluate
+from tensorframe.plans.lower import MIN_PLUS, evaluate
+from tensorframe.tensor import SparseTensor
 
 from .test_algebra import cells, make
 
@@ -103,3 +105,54 @@ def test_products_under_a_sum_read_their_rows_once(spark):
     assert "Join" in executed(apart) and cells(apart) == {(0, 1): 47.0, (3, 3): 8.0}
     wide = make(spark, {(0,): 2, (3,): 1}, "i")
     assert known(evaluate(a["i", "j"] * wide["i"] + a["i", "j"])) == {(0, 1): 15.0, (2, 2): 4.0, (3, 3): 8.0}
+
+
+def kept(spark, folder, rows, indices, dtype="double"):
+    """A tensor over a stored table, so that its size is known."""
+    schema = ", ".join(f"{i} long" for i in indices) + ", v double"
+    spark.createDataFrame([(*at, float(v)) for at, v in rows.items()], schema).write.parquet(str(folder))
+    return SparseTensor.from_df(spark.read.parquet(str(folder)), list(indices), dtype=dtype)
+
+
+def test_an_expanding_product_is_dealt_out(spark, monkeypatch, tmp_path):
+    """By bytes, and coordinates with many products in parts; no row is lost or made twice."""
+    rng = random.Random(4)
+    x = {(i, 0): rng.randint(1, 9) for i in range(50)} | {(i, j): rng.randint(1, 9) for i in range(12) for j in range(1, 5)} | {(60, 7): 2}
+    y = {(0, k): rng.randint(1, 9) for k in range(40)} | {(j, 3 * j): rng.randint(1, 9) for j in range(1, 6)} | {(8, 1): 2}
+    a, b = kept(spark, tmp_path / "a", x, "ij"), kept(spark, tmp_path / "b", y, "jk")
+    want, least = {}, {}
+    for (i, j), v in x.items():
+        for (j2, k), w in y.items():
+            if j == j2:
+                want[i, k] = want.get((i, k), 0.0) + v * w
+                least[i, k] = min(least.get((i, k), 1e9), v + w)
+    e = contract("j", a["i", "j"] * b["j", "k"])
+    assert "REPARTITION_BY_NUM" not in executed(evaluate(e))
+    tasks = (lower.stored(a.df) + lower.stored(b.df)) // 100
+    assert tasks > spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(lower, "READ", 100)
+    for cell in (1 << 20, 16, 1):
+        monkeypatch.setattr(lower, "CELL", cell)
+        for rewrite in (True, False):
+            got = evaluate(e, rewrite=rewrite)
+            assert executed(got).count(f", {tasks}), REPARTITION_BY_NUM") == 2
+            assert cells(got) == want
+    assert cells(evaluate(e, ring=MIN_PLUS)) == least
+    loop = {}
+    for (i, j), v in x.items():
+        for (k, j2), w in x.items():
+            if j == j2:
+                loop[i, k] = loop.get((i, k), 0.0) + v * w
+    assert cells(evaluate(contract("j", a["i", "j"] * a["k", "j"]))) == loop
+    pairs = evaluate(a["i", "j"] * b["j", "k"])
+    assert len(cells(pairs)) == sum(1 for _, j in x for j2, _ in y if j == j2)
+    assert "REPARTITION_BY_NUM" not in executed(evaluate(a["i", "j"] * b["i", "j"]))
+    p, q = ({(i, j, k): rng.randint(1, 9) for i in range(6) for j in range(2) for k in range(3)} for _ in range(2))
+    c, d = kept(spark, tmp_path / "c", p, "ijk"), kept(spark, tmp_path / "d", q, "jkl")
+    want = {}
+    for (i, j, k), v in p.items():
+        for (j2, k2, m), w in q.items():
+            if (j, k) == (j2, k2):
+                want[i, m] = want.get((i, m), 0.0) + v * w
+    got = evaluate(contract(("j", "k"), c["i", "j", "k"] * d["j", "k", "l"]))
+    assert cells(got) == want and "REPARTITION_BY_NUM" in executed(got)
